@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -17,8 +18,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    with tempfile.TemporaryDirectory() as folder:
-        root = os.path.join(folder, "src")
-        shutil.copytree(package, os.path.join(root, "folio"), ignore=shutil.ignore_patterns("__pycache__"))
-        context.addPyFile(shutil.make_archive(os.path.join(folder, "folio"), "zip", root))
+    folder = tempfile.mkdtemp(prefix="folio-")  # the driver serves the archive from here as long as it lives
+    atexit.register(shutil.rmtree, folder, True)
+    root = os.path.join(folder, "src")
+    shutil.copytree(package, os.path.join(root, "folio"), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "folio"), "zip", root))
     _shipped.add(context.applicationId)
