@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .lines import repeated_lines, without_lines
+from .packing import pack_texts
+from .pieces import split_texts
 from .util import table
 
 
@@ -17,5 +20,33 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(docs, repeated_lines(docs)).select("doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean)}
+def _limits(spark: SparkSession, d: str, purpose: str) -> list[tuple[int, int]]:
+    rows = table(spark, d, "size_limits").where(F.col("purpose") == purpose).select("capacity", "overlap").distinct().limit(100).collect()
+    return sorted((r[0], r[1] or 0) for r in rows if r[0])
+
+
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack_texts(table(spark, d, "documents"), [c for c, _ in _limits(spark, d, "container")])
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the containers' room that is used."""
+    load = p6_packing(spark, d).groupBy("capacity", "container").agg(F.sum("tokens").alias("load"), F.count("*").alias("items"))
+    return load.groupBy("capacity").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.max("load").alias("fullest"), (F.sum("load") / (F.col("capacity") * F.count("*"))).alias("used"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = split_texts(table(spark, d, "documents"), 4096, 128, only_oversized=True)
+    return pieces.where("piece_no = 1").select("doc_id").distinct()
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    docs, out = table(spark, d, "documents"), None
+    for capacity, overlap in _limits(spark, d, "piece"):
+        one = split_texts(docs, capacity, overlap).withColumn("capacity", F.lit(capacity))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p6_packing, p6_fill, p8_found, p8_pieces)}
 ORACLES: dict[str, str] = {}
