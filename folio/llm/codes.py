@@ -136,3 +136,18 @@ def chunks(texts: list[str | None], size: int = CHUNK_CHARS) -> Iterator[slice]:
         total += n
     if at < len(texts):
         yield slice(at, len(texts))
+
+def unspaced(cp: np.ndarray) -> np.ndarray:
+    """Characters of scripts that put no space between words (Thai to Burmese, Khmer, kana, Han)."""
+    return ((cp >= 0x0E00) & (cp < 0x0F00)) | ((cp >= 0x1000) & (cp < 0x10A0)) | ((cp >= 0x1780) & (cp < 0x1800)) | ((cp >= 0x3040) & (cp < 0x3100)) | ((cp >= 0x3400) & (cp < 0xA000)) | ((cp >= 0xF900) & (cp < 0xFB00))
+
+
+def units(c: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """start and end of the words; in scripts without spaces every character is one."""
+    w = c.is_kind(LOWER, UPPER, CASELESS, MARK)
+    u = unspaced(c.cp)
+    before_w, before_u = np.concatenate(([False], w[:-1])), np.concatenate(([False], u[:-1]))
+    cut = u | before_u
+    start = np.flatnonzero(w & (~before_w | cut))
+    end = np.flatnonzero(np.concatenate((before_w & (~w | cut), w[-1:])))
+    return start, end

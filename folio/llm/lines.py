@@ -106,17 +106,15 @@ class _Summary:
     def __init__(self):
         self.keys, self.counts, self.lines = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
         self.error = self.docs = 0
-        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, keys: np.ndarray, lines: np.ndarray) -> None:
-        self.pending.append((keys, lines))
-        if sum(len(k) for k, _ in self.pending) > 4 * COUNTERS:
+    def add(self, keys: np.ndarray, lines: np.ndarray, counts: np.ndarray | None = None) -> None:
+        self.pending.append((keys, lines, np.ones(len(keys), np.int64) if counts is None else counts))
+        if sum(len(x[0]) for x in self.pending) > 4 * COUNTERS:
             self.settle()
 
     def settle(self) -> None:
-        keys = np.concatenate([self.keys, *(k for k, _ in self.pending)])
-        lines = np.concatenate([self.lines, *(x for _, x in self.pending)])
-        counts = np.concatenate((self.counts, np.ones(len(keys) - len(self.keys), np.int64)))
+        keys, lines, counts = (np.concatenate([own, *(x[k] for x in self.pending)]) for k, own in enumerate((self.keys, self.lines, self.counts)))
         self.pending = []
         self.keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
         self.counts, self.lines = np.bincount(back, counts, len(self.keys)).astype(np.int64), lines[first]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .lines import repeated_lines, without_lines
 from .packing import pack_texts
 from .pieces import split_texts
+from .quality import quality, unnatural_texts
 from .util import table
 
 
@@ -20,6 +21,15 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(docs, repeated_lines(docs)).select("doc_id", "text")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return unnatural_texts(quality(table(spark, d, "documents"), table(spark, d, "languages"))).distinct()
+
+
+def p4_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's statistics, distance from the prose of its language and contributions."""
+    return quality(table(spark, d, "documents"), table(spark, d, "languages"))
+
+
 def _limits(spark: SparkSession, d: str, purpose: str) -> list[tuple[int, int]]:
     rows = table(spark, d, "size_limits").where(F.col("purpose") == purpose).select("capacity", "overlap").distinct().limit(100).collect()
     return sorted((r[0], r[1] or 0) for r in rows if r[0])
@@ -48,5 +58,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p6_packing, p6_fill, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_stats, p6_packing, p6_fill, p8_found, p8_pieces)}
 ORACLES: dict[str, str] = {}
