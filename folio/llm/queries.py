@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .languages import language_segments, unnamed_languages
 from .lines import repeated_lines, without_lines
 from .packing import pack_texts
 from .pieces import split_texts
@@ -21,6 +22,14 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(docs, repeated_lines(docs)).select("doc_id", "text")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return unnamed_languages(language_segments(table(spark, d, "documents"), table(spark, d, "languages")))
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language_segments(table(spark, d, "documents"), table(spark, d, "languages"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return unnatural_texts(quality(table(spark, d, "documents"), table(spark, d, "languages"))).distinct()
 
@@ -58,5 +67,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_stats, p6_packing, p6_fill, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_segments, p4_found, p4_stats, p6_packing, p6_fill, p8_found, p8_pieces)}
 ORACLES: dict[str, str] = {}
