@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .languages import language_segments, unnamed_languages
+from .leaks import leaked, without_leaks
 from .lines import repeated_lines, without_lines
 from .packing import pack_texts
 from .pieces import split_texts
@@ -54,6 +55,17 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return load.groupBy("capacity").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.max("load").alias("fullest"), (F.sum("load") / (F.col("capacity") * F.count("*"))).alias("used"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that held test passages, without them."""
+    docs = table(spark, d, "documents")
+    leaks = leaked(docs, table(spark, d, "eval_items")).persist()
+    return without_leaks(docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_semi"), leaks).select("doc_id", "text")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split_texts(table(spark, d, "documents"), 4096, 128, only_oversized=True)
     return pieces.where("piece_no = 1").select("doc_id").distinct()
@@ -67,5 +79,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_segments, p4_found, p4_stats, p6_packing, p6_fill, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_segments, p4_found, p4_stats, p6_packing, p6_fill, p7_found, p7_clean, p8_found, p8_pieces)}
 ORACLES: dict[str, str] = {}
