@@ -11,6 +11,7 @@ from .lines import repeated_lines, without_lines
 from .packing import pack_texts
 from .pieces import split_texts
 from .quality import quality, unnatural_texts
+from .sentences import sentence_model, sentence_units
 from .util import table
 
 
@@ -40,6 +41,18 @@ def p4_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality(table(spark, d, "documents"), table(spark, d, "languages"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    proof = docs.join(table(spark, d, "proof_docs").select("doc_id"), "doc_id", "left_semi")
+    return sentence_units(proof, sentence_model(docs)).select("doc_id", "end_pos").distinct()
+
+
+def p5_units(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of all documents."""
+    docs = table(spark, d, "documents")
+    return sentence_units(docs, sentence_model(docs))
+
+
 def _limits(spark: SparkSession, d: str, purpose: str) -> list[tuple[int, int]]:
     rows = table(spark, d, "size_limits").where(F.col("purpose") == purpose).select("capacity", "overlap").distinct().limit(100).collect()
     return sorted((r[0], r[1] or 0) for r in rows if r[0])
@@ -79,5 +92,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_segments, p4_found, p4_stats, p6_packing, p6_fill, p7_found, p7_clean, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_segments, p4_found, p4_stats, p5_found, p5_units, p6_packing, p6_fill, p7_found, p7_clean, p8_found, p8_pieces)}
 ORACLES: dict[str, str] = {}
