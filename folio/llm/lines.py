@@ -184,6 +184,8 @@ def edits(a: str, b: str, most: int) -> int:
     """Levenshtein distance of a and b by bit-parallel columns; most + 1 stands for anything above most."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if not a or not b:
+        return min(max(len(a), len(b)), most + 1)
     peq: dict[str, int] = defaultdict(int)
     for i, ch in enumerate(a):
         peq[ch] |= 1 << i

@@ -9,6 +9,7 @@ from .languages import language_segments, unnamed_languages
 from .leaks import leaked, without_leaks
 from .lines import repeated_lines, without_lines
 from .packing import pack_texts
+from .pages import page_noise, page_paragraphs
 from .pieces import split_texts
 from .quality import quality, unnatural_texts
 from .sentences import sentence_model, sentence_units
@@ -24,6 +25,20 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(docs, repeated_lines(docs)).select("doc_id", "text")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_noise(table(spark, d, "ocr_words"), table(spark, d, "items"))[0]
+
+
+def p2_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """Misread words with the words they stand for."""
+    return page_noise(table(spark, d, "ocr_words"), table(spark, d, "items"))[1]
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    """Readable paragraphs of each page."""
+    return page_paragraphs(table(spark, d, "ocr_words"), table(spark, d, "items"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return unnamed_languages(language_segments(table(spark, d, "documents"), table(spark, d, "languages")))
 
@@ -92,5 +107,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_segments, p4_found, p4_stats, p5_found, p5_units, p6_packing, p6_fill, p7_found, p7_clean, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_repairs, p2_text, p3_found, p3_segments, p4_found, p4_stats, p5_found, p5_units, p6_packing, p6_fill, p7_found, p7_clean, p8_found, p8_pieces)}
 ORACLES: dict[str, str] = {}
