@@ -1,4 +1,7 @@
 """All queries over the tables of scanned items, and the SQL each is compared with."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from folio.plans import pages
+
+MODULES = (pages,)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
