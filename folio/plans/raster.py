@@ -76,12 +76,12 @@ def layer_composite(spark, d):
 
 
 def pages_of(spark, d):
-    """The raster in strips of 100 rows as pages of bytes, with one text box each."""
-    r = raster(spark, d)
-    rows = r.groupBy(F.expr("cast(y div 100 as int)").alias("page_idx"), "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "p"))), lambda q: F.lpad(F.hex(q["p"]), 2, "0")), "").alias("row"))
-    pages = rows.groupBy("page_idx").agg(F.count("*").cast("int").alias("height"), F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "row"))), lambda q: q["row"]), "")).alias("data"))
-    box = F.struct(F.lit(4).alias("x0"), F.lit(10).alias("y0"), F.lit(60).alias("x1"), F.least(F.lit(40), F.col("height")).alias("y1"))
-    return pages.select(F.lit(0).cast("long").alias("doc"), "page_idx", "height", F.lit(64).alias("width"), F.lit(1).alias("channels"), "data", F.lit(60).alias("dpi"), F.array(box).alias("boxes"))
+    """The raster in strips of 25 rows as pages of bytes, each value a square of four pixels, dark below 100, with a text box each."""
+    r = raster(spark, d).withColumn("ink", F.repeat(F.when(F.col("p") < 100, "1E").otherwise("EB"), 4))
+    rows = r.groupBy(F.expr("cast(y div 25 as int)").alias("page_idx"), "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ink"))), lambda q: q["ink"]), "").alias("row"))
+    pages = rows.groupBy("page_idx").agg((F.count("*") * 4).cast("int").alias("height"), F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "row"))), lambda q: F.repeat(q["row"], F.lit(4))), "")).alias("data"))
+    box = F.struct(F.lit(8).alias("x0"), F.lit(20).alias("y0"), F.lit(240).alias("x1"), F.least(F.lit(80), F.col("height")).alias("y1"))
+    return pages.select(F.lit(0).cast("long").alias("doc"), "page_idx", "height", F.lit(256).alias("width"), F.lit(1).alias("channels"), "data", F.lit(60).alias("dpi"), F.array(box).alias("boxes"))
 
 
 def mrc_components(spark, d):
@@ -95,7 +95,7 @@ def layer_fill(spark, d):
 
 
 def mask_denoise(spark, d):
-    a = components(pages_of(spark, d), denoise="none").select("doc", "page_idx", F.bit_count(F.lit(0)).alias("zero"), F.sha2("mask", 256).alias("before"))
+    a = components(pages_of(spark, d), denoise="none").select("doc", "page_idx", F.sha2("mask", 256).alias("before"))
     b = components(pages_of(spark, d), denoise="fast").select("doc", "page_idx", F.sha2("mask", 256).alias("after"))
     return a.join(b, ["doc", "page_idx"]).select("doc", "page_idx", "before", "after")
 
