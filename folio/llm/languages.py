@@ -216,7 +216,7 @@ def sentences(parser: Parser, profile: Profile, texts: list, sources: list):
     begin = np.maximum(np.concatenate(([0], pos[:-1])), c.start[doc])
     n = len(pos)
     verse = _verse(c, lines, ~notice)
-    if not len(start):
+    if not len(start) or not parser.langs:
         empty = np.zeros(n)
         return doc, begin, pos, empty.astype(int) - 1, empty, empty > 0
     row = parser.lookup(c, start, end)
@@ -230,7 +230,7 @@ def sentences(parser: Parser, profile: Profile, texts: list, sources: list):
         cost[:, k] = np.bincount(of, parser.costs[row, k], n)
     order = np.argsort(cost, 1, kind="stable")[:, :2]
     best = cost[np.arange(n), order[:, 0]]
-    second = cost[np.arange(n), order[:, -1]]
+    second = cost[np.arange(n), order[:, 1]] if len(parser.langs) > 1 else chars + words
     rate = best / np.maximum(chars + words, 1)
     margin = np.where(second > 0, 1 - best / np.maximum(second, 1e-9), 0)
     known = (chars >= LEAST_CHARS) & (rate <= MOST_PHRASES) & (margin >= LEAST_MARGIN)
@@ -249,7 +249,7 @@ def _training_texts(docs: DataFrame, names: dict[str, str], profile: Profile) ->
     langs, hashes, has = profile.tables()
     out = {}
     for name in langs:
-        own = sorted((r["doc_id"], r["text"], r["source"] or "") for r in sample if r["named"] == name)
+        own = sorted(((r["doc_id"] or 0, r["text"], r["source"] or "") for r in sample if r["named"] == name))
         kept: list[str] = []
         for part in codes.chunks([t for _, t, _ in own]):
             texts, sources = [t for _, t, _ in own[part]], [s for _, _, s in own[part]]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import codes
 from .codes import Codes, among, counts_before, range_hash, runs
-from .util import bounded_rows, spread
+from .util import bounded_rows, fresh, spread
 
 #: Names of the months in the languages of the texts.
 MONTHS = """
@@ -337,6 +337,7 @@ def repeated_lines(docs: DataFrame, share: float = 0.08, min_docs: int = 4, min_
 
 def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """docs with the given (doc_id, line_no) lines cut out of text; other columns, rows and NULLs stay as they are."""
-    cut = lines.groupBy(F.col("doc_id").alias("_cut_doc")).agg(F.collect_set("line_no").alias("_cut"))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_cut"), i)), "\n")
-    return docs.join(cut, docs["doc_id"] == cut["_cut_doc"], "left").withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept)).drop("_cut", "_cut_doc")
+    key, cuts = fresh(docs, "_cut_doc"), fresh(docs, "_cut")
+    cut = lines.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(cuts))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(cuts), i)), "\n")
+    return docs.join(cut, F.col("doc_id") == F.col(key), "left").withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(kept)).drop(cuts, key)

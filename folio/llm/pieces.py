@@ -86,7 +86,7 @@ def cuts(text: str, capacity: int, overlap: int, folder: str = FOLDER, vocabular
     marks = landmarks(c, stride)
     natural = [np.flatnonzero(grade <= g) for g in (1, 2, 3, 4)]
 
-    def choose(cut: int, room: int) -> tuple[int, int]:
+    def choose(cut: int, room: int, least: int) -> tuple[int, int]:
         """Where a piece with new text from cut on ends, with at most room tokens of it, and the kind of that place."""
         low = int(np.searchsorted(before, before[cut] + min(least, room), "left"))
         high = int(np.searchsorted(before, before[cut] + room, "right")) - 1
@@ -107,7 +107,7 @@ def cuts(text: str, capacity: int, overlap: int, folder: str = FOLDER, vocabular
         room = most + (overlap if start == cut else 0)
         while True:  # a piece tokenized by itself may differ by a token or two from its share of the text
             last = before[size] - before[cut] <= room
-            end, kind = (size, 0) if last else choose(cut, int(room))
+            end, kind = (size, 0) if last else choose(cut, int(room), least + (overlap if start == cut else 0))
             n = len(encode(text[start:end]))
             if n <= capacity or end - cut <= 1:
                 break

@@ -44,3 +44,11 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
 
 def nonempty(column: str = "text"):
     return F.col(column).isNotNull() & (F.length(column) > 0)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as it takes not to be a column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

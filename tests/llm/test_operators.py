@@ -1,0 +1,370 @@
+"""Each operator on small fixtures: plain cases, odd rows, empty tables, repeated rows, columns with clashing names."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from folio.llm import codes, languages, leaks, lines, packing, pages, pieces, profile, quality, sentences, tokens
+
+DOCS = "doc_id long, text string, lang string, source string, confidence double"
+WORDS = "the old baker sold a red boat near town while her clerk found some maps under an empty roof before winter and nobody knew why it was so late".split()
+
+
+def prose(rng, n):
+    out = []
+    for _ in range(n):
+        s = " ".join(rng.choice(WORDS) for _ in range(rng.randint(6, 14)))
+        out.append(s[0].upper() + s[1:] + ".")
+    return " ".join(out)
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, lang, src, conf) for i, t, lang, src, conf in rows], DOCS)
+
+
+def odd(df):
+    """df with columns of names that the operators use themselves."""
+    for n in ("key", "n", "line", "grp", "docs", "_cut", "_cut_doc", "candidates", "tokens", "number", "start", "end", "language", "segment", "_spans", "tag", "bucket", "own", "label"):
+        if n not in df.columns:
+            df = df.withColumn(n, F.lit("x"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    rng = random.Random(1)
+    rows = [(k, prose(rng, 12), "en", "s", 90.0) for k in range(40)]
+    rows += [(100, None, None, None, None), (101, "", "en", "s", None), (102, "\n\n  \n", "xx", "s", 1.0), (None, prose(rng, 3), "en", "s", 50.0), (0, rows[0][1], "en", "s", 90.0), (103, "x" * 30000, "en", "s", 10.0), (104, prose(rng, 4000), "en", None, 80.0), (105, "\U0001f600 กข 水。﻿", "zh", "t", 5.0)]
+    return odd(documents(spark, rows))
+
+
+@pytest.fixture(scope="module")
+def langs(spark):
+    return spark.createDataFrame([("en", "eng", "English", "Latn"), ("de", "deu", "German", "Latn"), ("th", "tha", "Thai", "Thai")], "lang string, iso3 string, lang_name string, script string")
+
+
+def test_range_hash_is_of_content():
+    rng = random.Random(0)
+    words = ["".join(rng.choice("abcä水\U0001f600") for _ in range(rng.randint(0, 6))) for _ in range(300)]
+    h = codes.hash_words(words)
+    by = {}
+    for w, x in zip(words, h.tolist()):
+        assert by.setdefault(w, x) == x
+    assert len(set(by.values())) == len(by)
+    assert list(codes.chunks(["a" * 5, None, "b"], 4)) == [slice(0, 1), slice(1, 3)] and list(codes.chunks([])) == []
+
+
+def test_edits():
+    def slow(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            p, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+        return d[-1]
+
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in "ab")
+        for most in (2, 5, 20):
+            assert lines.edits(a, b, most) == min(slow(a, b), most + 1)
+
+
+def test_repeated_lines(spark):
+    rng = random.Random(2)
+    notice = "Scanned at {} dots per inch, tray {}, on {} {} {}"
+    months = ("May", "December", "March", "Dccember")
+    rows, want = [], set()
+    for k in range(60):
+        body = [prose(rng, 1) for _ in range(6)]
+        if k % 3 == 0:
+            line = notice.format(rng.randint(50, 600), rng.randint(1, 999), rng.randint(1, 28), rng.choice(months), rng.randint(2000, 2020))
+            line = rng.choice((line, line.upper(), line.replace("Scanned", "Scarned"), "  " + line + " *"))
+            body.insert(2, line)
+            want.add((k, 2))
+        if k in (1, 2):
+            body.append("A line that only three documents hold, all of one source")
+        rows.append((k, "\n".join(body), "en", "a", 1.0))
+    rows += [(200 + k, "Scanned at 1 dots per inch, tray 2, on 3 May 2001\nshort line", "en", "b", 1.0) for k in range(3)]  # three documents are too few
+    df = odd(documents(spark, rows + [rows[0], (300, None, "en", "a", 1.0), (301, "Scanned at 1 dots per inch, tray 2, on 3 May 2001", "en", None, 1.0)]))
+    found = lines.repeated_lines(df)
+    assert {(r.doc_id, r.line_no) for r in found.collect()} == want and found.count() == len(want)
+    # the way for very many sources gives the same
+    other = lines.repeated_lines(df, most_broadcast=0)
+    assert {(r.doc_id, r.line_no) for r in other.collect()} == want
+    clean = {r.doc_id: r.text for r in lines.without_lines(df, found).collect()}
+    assert clean[1] == rows[1][1] and len(clean[0].split("\n")) == 6 and clean[300] is None
+    assert lines.repeated_lines(df.limit(0)).count() == 0
+
+
+def test_summaries_lose_no_heavy_line():
+    rng = random.Random(4)
+    stream = [rng.choice(["h1", "h2"]) if rng.random() < 0.3 else f"u{rng.randint(0, 10**6)}" for _ in range(60000)]
+    s = lines._Summary()
+    for at in range(0, len(stream), 500):
+        part = stream[at : at + 500]
+        s.add(codes.hash_words(part), np.array(part, object))
+    s.settle()
+    true = Counter(stream)
+    kept = dict(zip(s.lines.tolist(), s.counts.tolist()))
+    for w in ("h1", "h2"):
+        assert kept[w] <= true[w] <= kept[w] + s.error
+    assert s.error <= len(stream) / lines.COUNTERS + 1
+
+
+def test_quality(spark, langs):
+    rng = random.Random(5)
+    rows = [(k, "\n".join(prose(rng, 1) for _ in range(8)), "en", f"s{k % 5}", 93.0) for k in range(300)]
+    rows += [(1000, "\n".join(f"{rng.randint(1, 999)}\t{rng.randint(1, 99999)}\t{rng.random():.2f}\t{rng.randint(1, 9)}" for _ in range(25)), "en", "s1", 93.0)]
+    rows += [(1001, "\n".join(f"Umber, {rng.choice('ABC')}. Zellern Corsk" for _ in range(25)), "en", "s1", 93.0)]
+    rows += [(1002, "\n".join(" ".join("".join(rng.choice("bcdfgkmpqxz%&") for _ in range(rng.randint(2, 9))) for _ in range(8)) for _ in range(15)), None, "s1", 30.0)]
+    rows += [(1003, None, "en", "s1", None), (1004, "", None, None, None), (1005, " \n ", "en", "s2", 5.0)]
+    df = odd(documents(spark, rows))
+    scored = quality.quality(df, langs)
+    got = {r.doc_id: r for r in scored.collect()}
+    assert len(got) == len(rows) and got[1003].distance is None and got[1005].words is None
+    r = got[1000]
+    assert abs(sum(getattr(r, f"c_{s}") for s in quality.STATS) - r.distance) < 1e-6 * r.distance
+    assert {x.doc_id: x.kind for x in quality.unnatural_texts(scored).collect()} == {1000: "table", 1001: "list", 1002: "junk"}
+    assert quality.quality(df.limit(0), langs).count() == 0
+
+
+def test_phrases_are_the_fewest():
+    text = "the cat sat on the mat"
+    auto = languages.SuffixAutomaton(text)
+
+    def slow(word):
+        best = [0] + [10**9] * len(word)
+        for i in range(len(word)):
+            for j in range(i + 1, len(word) + 1):
+                if j == i + 1 or word[i:j] in text:
+                    best[j] = min(best[j], best[i] + 1)
+        return best[-1]
+
+    rng = random.Random(6)
+    for _ in range(300):
+        w = "".join(rng.choice("theca smon xz") for _ in range(rng.randint(1, 12)))
+        assert auto.phrases(w) == slow(w), w
+
+
+GERMAN = "der alte müller fand die graue karte im dorf während seine frau das brot ohne hilfe nach hause trug und niemand wusste warum es so spät war".split()
+
+
+def german(rng, n):
+    out = []
+    for _ in range(n):
+        s = " ".join(rng.choice(GERMAN) for _ in range(rng.randint(6, 12)))
+        out.append(s[0].upper() + s[1:] + ".")
+    return " ".join(out)
+
+
+def test_languages(spark, langs):
+    rng = random.Random(7)
+    rows = [(k, prose(rng, 10), "eng", "s", 1.0) for k in range(30)] + [(100 + k, german(rng, 10), "de_AT", "s", 1.0) for k in range(30)]
+    rows += [(200, german(rng, 5), "en", "s", 1.0), (201, prose(rng, 4) + "\n\n" + german(rng, 3), "EN", "s", 1.0), (202, prose(rng, 4) + "\n\n" + german(rng, 1), "en", "s", 1.0), (203, german(rng, 4), None, "s", 1.0), (204, None, "en", "s", 1.0), (205, "%% 12", "en", "s", 1.0)]
+    df = odd(documents(spark, rows))
+    seg = languages.language_segments(df, langs)
+    found = {(r.doc_id, r.lang) for r in languages.unnamed_languages(seg).collect()}
+    assert found == {(200, "de"), (201, "de"), (203, "de")}
+    mixed = sorted((r.segment, r.lang) for r in seg.where("doc_id = 201").collect())
+    assert [x for _, x in mixed] == ["en", "de"] and all(0 < r.confidence <= 1 for r in seg.collect())
+    assert languages.language_segments(df.limit(0), langs).count() == 0
+
+
+def test_label_names():
+    names = profile.label_names([{0: "en", 1: "eng", 2: "English"}])
+    for label, want in (("EN", "en"), ("en-GB", "en"), ("en_US", "en"), ("English", "en"), ("und", None), ("", None), (None, None)):
+        assert profile.label_language(label, names) == want
+
+
+def ends(spark, train, text):
+    df = documents(spark, [(k, t, "en", "s", 1.0) for k, t in enumerate(train)])
+    model = sentences.sentence_model(df)
+    out = sentences.sentence_units(odd(documents(spark, [(1, text, None, None, None)])), model).collect()
+    return [text[r.start_pos : r.end_pos] for r in sorted(out, key=lambda r: r.sentence)]
+
+
+def test_sentences(spark):
+    rng = random.Random(8)
+    names = ("Corrin", "Umber", "Velm")
+    train = []
+    for _ in range(120):
+        parts = []
+        for _ in range(4):
+            parts.append(" ".join(f"The {rng.choice(WORDS[2:])} saw Dr. {rng.choice(names)} near vol. ii. of the {rng.choice(('set', 'town', 'roof'))}." for _ in range(4)))
+        train.append("\n\n".join(parts))
+    text = 'A Heading Here\n\nThe clerk saw Dr. Umber near 4.5 miles of town. "The baker sold maps!" cried the clerk. (The town was late.) The set of vol. ii. of the roof... The end\nof it.\n\nIt was'
+    assert ends(spark, train, text) == ["A Heading Here", "The clerk saw Dr. Umber near 4.5 miles of town.", '"The baker sold maps!" cried the clerk.', "(The town was late.)", "The set of vol. ii. of the roof...", "The end\nof it.", "It was"]
+    assert ends(spark, train, "水がある。雲もある！次") == ["水がある。", "雲もある！", "次"]
+    assert ends(spark, train, "  \n ") == []
+    bare = sentences.sentence_units(documents(spark, [(1, None, None, None, None), (None, "One. Two.", None, None, None)]), sentences.sentence_model(documents(spark, [])))
+    assert {r.doc_id for r in bare.collect()} == {None}
+
+
+def test_packing_plans():
+    rng = np.random.default_rng(9)
+    for capacity, top in ((64, 64), (2048, 900), (1000, 1000)):
+        n = rng.integers(1, top + 1, 700)
+        h = Counter(n.tolist())
+        plan = packing.make_plan(h, capacity)
+        assert not any(plan.left.values())
+        load, rows = Counter(), sorted(plan.rows)
+        for k, (length, first, container, each) in enumerate(rows):
+            last = rows[k + 1][1] if k + 1 < len(rows) and rows[k + 1][0] == length else h[length]
+            for i in range(first, last):
+                load[container + (i - first) // each] += length
+        assert max(load.values()) <= capacity and len(load) <= plan.containers
+        assert sum(load.values()) == n.sum() and plan.containers <= 1.15 * n.sum() / capacity + 3
+    assert packing.make_plan({}, 10).containers == 0
+    with pytest.raises(ValueError):
+        packing.make_plan({11: 1}, 10)
+
+
+def test_nnls():
+    rng = np.random.default_rng(10)
+    a = rng.random((12, 6))
+    x = np.array([0, 2, 0, 1.5, 3, 0])
+    assert np.allclose(packing.nnls(a, a @ x), x, atol=1e-8)
+    y = packing.nnls(a, -np.ones(12))
+    assert (y == 0).all()
+
+
+def test_pack(spark):
+    sizes = spark.createDataFrame([(k, 7 if k < 400 else k % 50) for k in range(600)] + [(1000, 205), (1001, 0), (5, 7)], "doc_id long, tokens long")
+    rows = packing.pack(sizes, 100).collect()
+    load, parts = Counter(), Counter()
+    for r in rows:
+        load[r.container] += r.tokens
+        parts[r.doc_id] += r.tokens
+    assert max(load.values()) <= 100 and parts[1000] == 205 and 1001 not in parts and parts[5] == 14
+    assert sorted(r.tokens for r in rows if r.doc_id == 1000) == [5, 100, 100]
+    assert len({(r.doc_id, r.part, r.container) for r in rows if r.doc_id != 5}) == len(rows) - 2
+    assert packing.pack(sizes.limit(0), 100).count() == 0
+
+
+def test_leaks(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}{rng.choice('aeiou')}n" for k in range(400)]
+    item = [rng.choice(vocabulary) for _ in range(60)]
+    other = " ".join(rng.choice(vocabulary) for _ in range(60))
+    filler = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    broken = item[10:40]
+    spoiled = " ".join(broken[:9]) + " " + broken[9][:2] + "-\n" + broken[9][2:] + "\nPAGE 12 OF SOME BOOK\n" + " ".join(w if k != 5 else "x" + w[1:] for k, w in enumerate(broken[10:])).upper()
+    items = spark.createDataFrame([(1, "line", "en", " ".join(item)), (2, "line", "en", other), (3, "x", "en", None), (1, "line", "en", " ".join(item))], "item_id long, task string, lang string, text string")
+    texts = {1: filler(50) + " " + " ".join(item) + ". " + filler(9), 2: filler(30) + "\n" + spoiled + "\n" + filler(30), 3: filler(20) + " " + " ".join(item[5:20]) + " " + filler(20), 4: " ".join(item[:10]) + " " + filler(10) + " " + " ".join(item[10:20]), 5: None, 6: "", 7: other, 8: " ".join(item[20:40])}
+    df = odd(documents(spark, [(k, t, "en", "s", 1.0) for k, t in texts.items()]))
+    found = leaks.leaked(df, odd(items))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1), (7, 2), (8, 1)}
+    whole = {(r.doc_id, r.item_id): r for r in found.collect()}[1, 1]
+    assert texts[1][whole.start : whole.end].split() == item and whole.share == 1
+    clean = {r.doc_id: r.text for r in leaks.without_leaks(df, found).collect()}
+    assert item[0] + " " + item[1] not in clean[1] and clean[3] == texts[3] and clean[5] is None and len(clean) == 8
+    assert leaks.leaked(df.limit(0), items).count() == 0 and leaks.leaked(df, items.limit(0)).count() == 0
+
+
+def test_pieces(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 60), "\n\n".join(prose(rng, 4) for _ in range(20)), "水" * 900, "x" * 3000, "\U0001f600" * 300, "a\n" * 500]
+    encode = tokens.encoding().encode_ordinary
+    for text in texts:
+        for capacity, overlap in ((64, 8), (128, 0), (40, 20)):
+            cut = pieces.cuts(text, capacity, overlap)
+            assert cut[0][0] == 0 and cut[-1][1] == len(text) and all(n == len(encode(text[s:e])) <= capacity for s, e, n, _ in cut)
+            for (s, e, _, _), (t, f, _, _) in zip(cut, cut[1:]):
+                assert s < t <= e < f
+                if overlap:
+                    assert abs(len(encode(text[t:e])) - overlap) <= 4 or text.isascii() is False
+                else:
+                    assert t == e
+    # an edit changes only the pieces near it
+    text = "\n".join(prose(rng, 2) for _ in range(400))
+    a = {text[s:e] for s, e, _, _ in pieces.cuts(text, 200, 0)}
+    other = text[:5000] + "a few new words " + text[5000:]
+    b = {other[s:e] for s, e, _, _ in pieces.cuts(other, 200, 0)}
+    assert len(a - b) <= 4
+    df = odd(documents(spark, [(k, t, None, None, None) for k, t in enumerate([*texts, None, "", "tiny"])]))
+    got = {r.doc_id: r.n for r in pieces.split_texts(df, 64, 8).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got[8] == 1 and 6 not in got and 7 not in got
+    over = {r.doc_id for r in pieces.split_texts(df, 64, 8, only_oversized=True).collect()}
+    assert over == {k for k, n in got.items() if n > 1}
+    with pytest.raises(ValueError):
+        pieces.split_texts(df, 10, 10)
+
+
+def ocr(spark, rows):
+    box = {"x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0}
+    out = []
+    for doc, page, line, par, text in rows:
+        out += [(doc, page, par, line, box, k, w, 90.0) for k, w in enumerate(text.split())]
+    return spark.createDataFrame(out, "doc long, page_idx int, par int, line int, line_bbox struct<x0:double,y0:double,x1:double,y1:double>, word int, text string, conf double")
+
+
+def test_page_noise(spark):
+    rng = random.Random(13)
+    rows = []
+    for doc in range(1, 9):
+        for page in range(4):
+            rows.append((doc, page, 0, 0, ("THE OLD BOAT OF TOWN" if page else "The old boat of town") + f" {page + 3}"))
+            for line in range(1, 9):
+                rows.append((doc, page, line, 1, " ".join(rng.choice(WORDS) for _ in range(9))))
+            rows.append((doc, page, 9, 2, f"- {page + 3} -"))
+    at = {(d, p, n): k for k, (d, p, n, _, _) in enumerate(rows)}
+
+    def put(d, p, n, text):
+        k = at[d, p, n]
+        rows[k] = (*rows[k][:4], text)
+
+    put(1, 1, 2, "the old baker sold a red boat near wint-")
+    put(1, 1, 3, "er and nobody knew why it was")
+    put(1, 1, 8, "it was so late before the old ba-")
+    put(1, 2, 1, "ker found some maps under an empty roof")
+    put(2, 1, 4, "the old bakcr sold a red boat near town")
+    put(2, 2, 4, "a time-")
+    put(2, 2, 5, "worn roof under the empty town")
+    put(3, 1, 4, "1856.")
+    put(3, 2, 2, "while her time-worn clerk found some maps")
+    put(3, 2, 3, "while her time-worn clerk found some maps")
+    put(3, 3, 3, "while her time-worn clerk found some maps")
+    words = ocr(spark, rows)
+    words = words.unionByName(words.where("doc = 2"))
+    words = words.unionByName(words.limit(1).withColumn("doc", F.lit(None).cast("long"))).unionByName(words.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("line", F.lit(50)))
+    items = spark.createDataFrame([(d, "The Old Boat of Town") for d in range(1, 8)] + [(1, "twice"), (99, None)], "doc long, title string")
+    found, repairs = pages.page_noise(odd(words), items)
+    got = {(r.doc, r.page_idx, r.line, r.kind) for r in found.collect()}
+    for d in range(1, 9):
+        for p in range(4):
+            assert (d, p, 9, "pagenum") in got and ((d, p, 0, "header") in got or d == 1), (d, p)
+    assert {x for x in got if x[3] == "hyphen"} == {(1, 1, 2, "hyphen"), (1, 1, 8, "hyphen")}
+    assert {x for x in got if x[3] == "misread"} == {(2, 1, 4, "misread")}
+    assert [(r.word, r.to_word) for r in repairs.collect()] == [("bakcr", "baker")]
+    text = {(r.doc, r.page_idx, r.par): r.text for r in pages.page_paragraphs(words, items).collect()}
+    assert "near winter and nobody" in text[1, 1, 1] and text[1, 1, 1].endswith("the old baker") and text[1, 2, 1].startswith("found some maps")
+    assert "the old baker sold" in text[2, 1, 1] and "OLD BOAT" not in text[2, 1, 1]
+    assert pages.page_noise(words.limit(0), items)[0].count() == 0
+
+
+def test_page_numbers_and_headings():
+    for yes in ("12", "- 4 -", "[19]", "( iii )", "Page 7", "l2", "— xiv —"):
+        assert pages.page_number(yes), yes
+    for no in ("1856.", "8,988", "the", "12 men", "", "a", "lo"):
+        assert not pages.page_number(no), no
+    assert pages.same_heading("themarrowbyweeklygazetteno", "themarrowbyweeklygazette") and not pages.same_heading("theoldboat", "thenewhouse")
+    assert pages.misread_cost("bakcr", "baker") == 0.5 and pages.misread_cost("fr.ost", "frost") == 0.5 and pages.misread_cost("modest", "rnodest") == 0.5 and pages.misread_cost("abc", "xyz") is None
+
+
+def test_all_take_odd_rows(small, langs):
+    assert lines.repeated_lines(small).count() == 0
+    stats = quality.document_stats(small, langs)
+    assert stats.count() == small.count()
+    assert languages.language_segments(small, langs).where("doc_id = 104").count() == 1
+    model = sentences.sentence_model(small)
+    n = sentences.sentence_units(small, model).where("doc_id = 104").count()  # a final "a." is taken for an initial
+    assert 3500 < n <= 4000
+    sized = {r.doc_id: r.tokens for r in tokens.counted(small).collect()}
+    assert sized[100] == sized[101] == 0 and sized[104] > 30000
+    packed = packing.pack_texts(small, [512])
+    assert packed.where("tokens > 512").count() == 0 and packed.where("doc_id = 0").count() == 2
+    assert pieces.split_texts(small, 512, 64).where("tokens > 512").count() == 0
