@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.sequence import with_context
+
 LOADED = "image_load"
 
 
@@ -21,10 +23,10 @@ def timing_summary(timings: DataFrame, keys: list[str] | None = None) -> DataFra
     return steps.withColumn("ms", millis(F.col("seconds"), loaded)).drop("seconds", "own")
 
 
-def report_windows(pages: DataFrame, every: int, order: list[str]) -> DataFrame:
+def report_windows(pages: DataFrame, every: int, order: str) -> DataFrame:
     """pages with ``report``, the number of the block of ``every`` rows within the item; the last may be short."""
-    n = F.row_number().over(Window.partitionBy("doc").orderBy(*order))
-    return pages.withColumn("report", F.floor((n - 1) / every).cast("int"))
+    counted = with_context(pages, ["doc"], order, before={"_rows": F.lit(1)})
+    return counted.withColumn("report", F.floor(F.col("_rows") / every).cast("int")).drop("_rows")
 
 
 def compression_ratio(source_bytes: DataFrame, output_bytes: DataFrame) -> DataFrame:
@@ -55,5 +57,4 @@ def warning_union(warnings: DataFrame) -> DataFrame:
 
 def offsets(objects: DataFrame, keys: list[str], order: str, size: str) -> DataFrame:
     """objects with ``offset``, the bytes of those before them."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return objects.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    return with_context(objects, keys, order, before={"offset": F.col(size).cast("long")})

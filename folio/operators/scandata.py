@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import labels as L
 from folio.functions.geometry import whole_number
+from folio.operators.sequence import with_context
 
 
 def latest(rows: DataFrame, keys: list[str], by: str, also: list[Column] | None = None) -> DataFrame:
@@ -19,10 +20,6 @@ def pages_once(scandata: DataFrame) -> DataFrame:
     return latest(scandata, ["doc", "idx"], "loaded_at")
 
 
-def in_order(*until: str) -> Window:
-    return Window.partitionBy("doc").orderBy("idx")
-
-
 def is_skipped(flag: Column) -> Column:
     """Only the exact text false takes a page out; a missing flag keeps it."""
     return F.coalesce(flag == "false", F.lit(False))
@@ -30,9 +27,9 @@ def is_skipped(flag: Column) -> Column:
 
 def output_index(pages: DataFrame) -> DataFrame:
     """pages with skipped and out_idx, the page's number among those kept."""
-    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
     skipped = pages.withColumn("skipped", is_skipped(F.col("add_to_access")))
-    return skipped.withColumn("out_idx", F.col("idx") - F.coalesce(F.sum(F.col("skipped").cast("int")).over(before), F.lit(0)).cast("int"))
+    counted = with_context(skipped, ["doc"], "idx", before={"_out": F.col("skipped").cast("int")})
+    return counted.withColumn("out_idx", (F.col("idx") - F.col("_out")).cast("int")).drop("_out")
 
 
 def first_kept(pages: DataFrame, n: int, compatible: bool = False) -> DataFrame:
@@ -57,9 +54,8 @@ def hq_pages(page_counts: DataFrame, spec: str) -> DataFrame:
 
 def table_of_contents(pages: DataFrame) -> DataFrame:
     """Titled pages with their level (1 where none is given) and the number of kept pages before them."""
-    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
     kept = (~is_skipped(F.col("add_to_access"))).cast("int")
-    numbered = pages.withColumn("accessible_page", F.coalesce(F.sum(kept).over(before), F.lit(0)).cast("int"))
+    numbered = with_context(pages, ["doc"], "idx", before={"kept_before": kept}).withColumn("accessible_page", F.col("kept_before").cast("int"))
     t = F.col("page_type")
     return numbered.where(t["_title"].isNotNull()).select("doc", "idx", t["_title"].alias("title"), F.coalesce(whole_number(t["_level"]), F.lit(1)).alias("level"), t["_label"].alias("label"), F.col("leaf_num").alias("leaf"), "accessible_page")
 
@@ -72,8 +68,7 @@ def classified(series: DataFrame, strict: bool = False) -> DataFrame:
     not ok; in the strict form the query fails.
     """
     label = F.col("label")
-    after = in_order().rowsBetween(1, Window.unboundedFollowing)
-    own = series.withColumn("kind0", L.label_kind(label)).withColumn("next", F.first("label", ignorenulls=True).over(after))
+    own = with_context(series, ["doc"], "idx", following={"next": label}).withColumn("kind0", L.label_kind(label))
     own = own.withColumn("next_kind", L.label_kind(F.col("next")))
     k0, nk = F.col("kind0"), F.col("next_kind")
     turned = F.when((k0 == L.ROMAN_UPPER) & (nk == L.ALPHA_UPPER), L.ALPHA_UPPER).when((k0 == L.ROMAN_LOWER) & (nk == L.ALPHA_LOWER), L.ALPHA_LOWER).otherwise(k0)
@@ -93,22 +88,35 @@ def classified(series: DataFrame, strict: bool = False) -> DataFrame:
     return own.withColumn("kind", kind).withColumn("value", L.label_value(label, F.col("kind"))).withColumn("ok", ok)
 
 
-def label_ranges(series: DataFrame, strict: bool = False) -> DataFrame:
-    """Runs of consecutive labels of one kind: (doc, start, kind, kind_name, n, values, numbers, all_ok)."""
+def label_runs(series: DataFrame, strict: bool = False) -> DataFrame:
+    """classified labels with run, the number of their run of consecutive labels of one kind."""
     marked = classified(series, strict)
-    lag_kind = F.coalesce(F.lag("kind").over(in_order()), F.lit(L.INVALID))
-    lag_value = F.lag("value").over(in_order())
-    both = (F.col("kind") != L.INVALID) & (lag_kind != L.INVALID)
-    breaks = (F.col("kind") != lag_kind) | both & (F.col("value") != lag_value + 1)
-    first = F.row_number().over(in_order()) == 1
-    runs = marked.withColumn("break", F.when(first, 0).otherwise(F.coalesce(breaks, F.lit(True)).cast("int"))).withColumn("run", F.sum("break").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.withColumn("all_ok", F.min("ok").over(Window.partitionBy("doc")))
+    behind = with_context(marked, ["doc"], "idx", previous={"_before": F.struct("kind", "value")})
+    was, value = F.col("_before")["kind"], F.col("_before")["value"]
+    both = (F.col("kind") != L.INVALID) & (was != L.INVALID)
+    breaks = (F.col("kind") != was) | both & (F.col("value") != value + 1)
+    broken = behind.withColumn("break", F.when(F.col("_before").isNull(), 0).otherwise(F.coalesce(breaks, F.lit(True)).cast("int"))).drop("_before")
+    return with_context(broken, ["doc"], "idx", before={"_run": F.col("break")}).withColumn("run", F.col("_run") + F.col("break")).drop("_run", "break")
+
+
+def label_bounds(series: DataFrame, strict: bool = False) -> DataFrame:
+    """Runs of labels by their first and last: (doc, start, kind, kind_name, n, first_label, first_value, last_value, all_ok)."""
+    runs = label_runs(series, strict)
+    own = runs.groupBy("doc", "run").agg(F.min("idx").alias("start"), F.first("kind").alias("kind"), F.count("*").cast("int").alias("n"), F.min("ok").alias("ok"), F.min_by(F.struct("label", "value"), "idx").alias("a"), F.max_by(F.struct("label", "value"), "idx").alias("z"))
+    ok = own.groupBy("doc").agg(F.min("ok").alias("all_ok"))
+    return own.join(ok, "doc").select("doc", "start", "kind", L.kind_name(F.col("kind")).alias("kind_name"), "n", F.col("a.label").alias("first_label"), F.col("a.value").alias("first_value"), F.col("z.value").alias("last_value"), "all_ok")
+
+
+def label_ranges(series: DataFrame, strict: bool = False) -> DataFrame:
+    """Runs with all their labels: (doc, start, kind, kind_name, n, values, numbers, all_ok); a row is as long as its run."""
+    runs = label_runs(series, strict)
     ordered = F.array_sort(F.collect_list(F.struct("idx", "label", "value")))
-    out = runs.groupBy("doc", "run").agg(F.min("idx").alias("start"), F.first("kind").alias("kind"), F.count("*").cast("int").alias("n"), F.first("all_ok").alias("all_ok"), ordered.alias("of"))
-    return out.select("doc", "start", "kind", L.kind_name(F.col("kind")).alias("kind_name"), "n", F.transform("of", lambda x: x["label"]).alias("values"), F.transform("of", lambda x: x["value"]).alias("numbers"), "all_ok")
+    own = runs.groupBy("doc", "run").agg(F.min("idx").alias("start"), F.first("kind").alias("kind"), F.count("*").cast("int").alias("n"), F.min("ok").alias("ok"), ordered.alias("of"))
+    ok = own.groupBy("doc").agg(F.min("ok").alias("all_ok"))
+    return own.join(ok, "doc").select("doc", "start", "kind", L.kind_name(F.col("kind")).alias("kind_name"), "n", F.transform("of", lambda x: x["label"]).alias("values"), F.transform("of", lambda x: x["value"]).alias("numbers"), "all_ok")
 
 
-def label_dictionary(ranges: DataFrame) -> DataFrame:
-    """(doc, nums): the text of each item's PDF page-label array."""
-    entry = F.concat(F.col("start").cast("string"), F.when(F.col("kind") == L.INVALID, " << >>").otherwise(F.concat(F.lit(" << /S /"), L.kind_style(F.col("kind")), F.lit(" /St "), F.col("numbers")[0].cast("string"), F.lit(" >>"))))
-    return ranges.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", entry.alias("entry")))), lambda x: x["entry"]), " ").alias("nums"))
+def label_dictionary(bounds: DataFrame) -> DataFrame:
+    """(doc, nums): the text of each item's PDF page-label array, from label_bounds."""
+    entry = F.concat(F.col("start").cast("string"), F.when(F.col("kind") == L.INVALID, " << >>").otherwise(F.concat(F.lit(" << /S /"), L.kind_style(F.col("kind")), F.lit(" /St "), F.col("first_value").cast("string"), F.lit(" >>"))))
+    return bounds.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", entry.alias("entry")))), lambda x: x["entry"]), " ").alias("nums"))

@@ -38,7 +38,7 @@ def time_per_page(spark, d):
 
 def report_windows(spark, d):
     per_page = timings(spark, d).groupBy("doc", "page_idx").agg(F.sum("seconds").alias("s"))
-    r = M.report_windows(per_page, 4, ["page_idx"])
+    r = M.report_windows(per_page, 4, "page_idx")
     return r.groupBy("doc", "report").agg(F.count("*").alias("pages"), F.min("page_idx").alias("first_page"), F.sum("s").alias("s"))
 
 

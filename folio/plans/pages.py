@@ -65,8 +65,13 @@ GUESS_SQL = "list_sort(list_transform([1,2,3,4,5], lambda k: {{'o': abs({0} / 8.
 
 
 def page_labels(spark, d):
+    return S.label_bounds(series(spark, d))
+
+
+def label_values(spark, d):
+    """The labels and values of each run of labels as lists."""
     r = S.label_ranges(series(spark, d))
-    return r.select("doc", "start", F.col("kind"), "kind_name", "n", r.values[0].alias("first_label"), r.numbers[0].alias("first_value"), F.element_at("numbers", -1).alias("last_value"), "all_ok")
+    return r.select("doc", "start", "kind", F.array_join("values", ",", "-").alias("labels"), F.array_join(r.numbers.cast("array<string>"), ",", "-").alias("numbers"))
 
 
 def label_types(spark, d):
@@ -88,7 +93,7 @@ def label_lookahead(spark, d):
 
 
 def label_pdf_nums(spark, d):
-    return S.label_dictionary(S.label_ranges(series(spark, d)))
+    return S.label_dictionary(S.label_bounds(series(spark, d)))
 
 
 def skip_pages(spark, d):
@@ -179,7 +184,7 @@ def zip_inner(spark, d):
     return pages(spark, d).select("doc", "idx", "leaf_num").join(read(spark, d, "page_geometry").select("doc", F.col("page_idx").alias("idx"), "imwidth"), ["doc", "idx"])
 
 
-QUERIES = {f.__name__: f for f in (page_labels, label_types, label_values_roman, label_values_alpha, label_lookahead, label_pdf_nums, skip_pages, accessible_numbers, accessible_dpi, document_dpi, output_index, toc, limit_pages, limit_pages_compatible, hq_pages, guess_dpi, dpi_precedence, page_size, page_size_validity, image_pass_dpi, anti_join_skips, join_image_by_index, join_dpi_left, join_hq_left, zip_inner)}
+QUERIES = {f.__name__: f for f in (page_labels, label_values, label_types, label_values_roman, label_values_alpha, label_lookahead, label_pdf_nums, skip_pages, accessible_numbers, accessible_dpi, document_dpi, output_index, toc, limit_pages, limit_pages_compatible, hq_pages, guess_dpi, dpi_precedence, page_size, page_size_validity, image_pass_dpi, anti_join_skips, join_image_by_index, join_dpi_left, join_hq_left, zip_inner)}
 
 GEO_SQL = f"""q AS (SELECT g.*, {INT_SQL.format('g.page_dpi')} AS page_dpi_int, {INT_SQL.format('i.dpi')} AS doc_dpi FROM page_geometry g LEFT JOIN items i ON g.doc = i.doc),
 u AS (SELECT *, [72,96,150,300,600][{GUESS_SQL.format('imwidth', 'imheight')}] AS guess FROM q),
@@ -187,6 +192,7 @@ v AS (SELECT *, coalesce(nullif(page_dpi_int, 0), nullif(doc_dpi, 0), nullif(dpi
 HQ_SQL = f"{PAGES_SQL}, n AS (SELECT doc, count(*) AS pages FROM p GROUP BY doc), hq AS (SELECT DISTINCT doc, (CASE WHEN i > 0 THEN i - 1 WHEN i = 0 THEN 0 ELSE i + pages END)::INT AS page_idx FROM n, (SELECT unnest([1, 2, -1, -4, 0, 40]) AS i) WHERE CASE WHEN i > 0 THEN i <= pages ELSE abs(i) < pages END)"
 ORACLES = {
     "page_labels": f"WITH {RANGES_SQL} SELECT doc, start, kind, {NAME_SQL} AS kind_name, n, first_label, first_value, last_value, all_ok FROM r",
+    "label_values": f"WITH {RANGES_SQL}, z AS (SELECT doc, run, string_agg(coalesce(label, '-'), ',' ORDER BY idx) AS labels, string_agg(coalesce(value::VARCHAR, '-'), ',' ORDER BY idx) AS numbers FROM k GROUP BY doc, run) SELECT r.doc, start, kind, labels, numbers FROM r JOIN z ON r.doc = z.doc AND r.run = z.run",
     "label_types": f"WITH {CLASSIFIED_SQL} SELECT doc, idx, label, kind0, kind, ok FROM g",
     "label_values_roman": f"WITH {PAGES_SQL}, s AS (SELECT doc, idx, page_number AS label, {kind_sql('page_number')} AS kind FROM p) SELECT doc, idx, label, {roman_sql('label')}::INT AS value FROM s WHERE kind IN (2, 3)",
     "label_values_alpha": f"WITH {PAGES_SQL} SELECT doc, idx, page_number AS label, ascii(upper(page_number)) - 64 + 26 * (length(page_number) - 1)::INT AS value FROM p WHERE regexp_full_match(page_number, '[A-Z]+|[a-z]+')",

@@ -86,7 +86,7 @@ def recode(rasters: DataFrame, words: DataFrame, geometry: DataFrame, scandata:
     else:
         out = out.withColumn("source_bytes", F.lit(0))
     toc = S.table_of_contents(pages).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("idx", "level", "title", "accessible_page"))).alias("toc"))
-    labels = S.label_dictionary(S.label_ranges(pages.where(~S.is_skipped(F.col("add_to_access"))).select("doc", "idx", F.col("page_number").alias("label"))))
+    labels = S.label_dictionary(S.label_bounds(pages.where(~S.is_skipped(F.col("add_to_access"))).select("doc", "idx", F.col("page_number").alias("label"))))
     out = out.join(items.select("doc", "title"), "doc", "left").join(toc, "doc", "left").join(labels, "doc", "left")
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -12,6 +12,7 @@ from folio.functions import text as X
 from folio.operators import images as I
 from folio.operators import metrics as M
 from folio.operators import scandata as S
+from folio.operators.sequence import with_context
 
 ROMAN = re.compile("(?i)^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$")
 
@@ -70,6 +71,19 @@ def test_label_ranges(spark):
         assert (sorted(got[d][0]), got[d][1]) == (want, ok), c
 
 
+def test_context_over_blocks(spark):
+    rng = random.Random(6)
+    rows = [(d, i, rng.randint(0, 9), rng.choice([None, "a", "b"])) for d in range(4) for i in range(rng.randint(1, 60)) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "doc long, idx int, v int, s string")
+    got = {(r.doc, r.idx): r for r in with_context(df, ["doc"], "idx", before={"sum": F.col("v")}, previous={"was": F.col("v")}, following={"next": F.col("s")}, size=4).collect()}
+    for d in range(4):
+        own = sorted(r for r in rows if r[0] == d)
+        for k, (_, i, _, _) in enumerate(own):
+            r = got[d, i]
+            assert r["sum"] == sum(x[2] for x in own[:k]) and r["was"] == (own[k - 1][2] if k else None)
+            assert r["next"] == next((x[3] for x in own[k + 1 :] if x[3] is not None), None)
+
+
 def test_strict_labels_fail(spark):
     df = spark.createDataFrame([(0, 0, "B"), (0, 1, "ii")], "doc long, idx int, label string")
     with pytest.raises(Exception, match="cannot be told"):
@@ -78,7 +92,7 @@ def test_strict_labels_fail(spark):
 
 def test_label_dictionary(spark):
     df = spark.createDataFrame([(0, i, s) for i, s in enumerate(["i", "ii", None, "4", "5"])], "doc long, idx int, label string")
-    assert S.label_dictionary(S.label_ranges(df)).first()["nums"] == "0 << /S /r /St 1 >> 2 << >> 3 << /S /D /St 4 >>"
+    assert S.label_dictionary(S.label_bounds(df)).first()["nums"] == "0 << /S /r /St 1 >> 2 << >> 3 << /S /D /St 4 >>"
 
 
 def test_hq_pages(spark):
