@@ -28,7 +28,7 @@ from .tokens import FOLDER, VOCABULARY, counted
 
 WINDOW = 512
 CLASSES = 128
-BUCKETS = 64
+BUCKET_ROWS = 100_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
@@ -187,7 +187,7 @@ def make_plan(histogram: dict[int, int], capacity: int, window: int = WINDOW, cl
     return plan
 
 
-def numbered(items: DataFrame, keys: list[str], order: list[str], buckets: int = BUCKETS) -> DataFrame:
+def numbered(items: DataFrame, keys: list[str], order: list[str], buckets: int = 64) -> DataFrame:
     """items with ``number``, from 0 within equal keys; a hot key is numbered in buckets whose sizes are added up."""
     salted = items.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = salted.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
@@ -220,7 +220,7 @@ def pack(sizes: DataFrame, capacity: int, window: int = WINDOW) -> DataFrame:
             container = plan_rows[at, 2] + (number - plan_rows[at, 1]) // plan_rows[at, 3]
             yield pa.RecordBatch.from_arrays([pa.array(container), batch.column("doc_id"), batch.column("part"), batch.column("tokens")], ["container", "doc_id", "part", "tokens"])
 
-    return numbered(every, ["tokens"], ["doc_id", "part"]).select("doc_id", "part", "tokens", F.col("number").cast("long").alias("number")).mapInArrow(run, "container long, doc_id long, part int, tokens long")
+    return numbered(every, ["tokens"], ["doc_id", "part"], 1 + max(histogram.values(), default=0) // BUCKET_ROWS).select("doc_id", "part", "tokens", F.col("number").cast("long").alias("number")).mapInArrow(run, "container long, doc_id long, part int, tokens long")
 
 
 def pack_texts(docs: DataFrame, capacities: list[int], folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
