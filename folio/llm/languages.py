@@ -203,7 +203,7 @@ def _verse(c: Codes, lines: LineKeys, use: np.ndarray) -> np.ndarray:
 
 
 def sentences(parser: Parser, profile: Profile, texts: list, sources: list):
-    """text index, start, end, language index (-1 unknown), confidence, running text? of every sentence of a chunk."""
+    """text index, start, end, language index (-1 unknown), confidence, and whether it is running text (2; 1 as a line by itself) of every sentence of a chunk."""
     lines = LineKeys(texts)
     c = lines.codes
     notice = profile.notice_lines(lines, sources)
@@ -218,7 +218,7 @@ def sentences(parser: Parser, profile: Profile, texts: list, sources: list):
     verse = _verse(c, lines, ~notice)
     if not len(start) or not parser.langs:
         empty = np.zeros(n)
-        return doc, begin, pos, empty.astype(int) - 1, empty, empty > 0
+        return doc, begin, pos, empty.astype(int) - 1, empty, empty.astype(int)
     row = parser.lookup(c, start, end)
     of = np.searchsorted(pos, start, "right")
     of = np.minimum(of, n - 1)
@@ -235,7 +235,13 @@ def sentences(parser: Parser, profile: Profile, texts: list, sources: list):
     margin = np.where(second > 0, 1 - best / np.maximum(second, 1e-9), 0)
     known = (chars >= LEAST_CHARS) & (rate <= MOST_PHRASES) & (margin >= LEAST_MARGIN)
     thai = np.bincount(of, (c.cp[start] >= 0x0E00) & (c.cp[start] < 0x0E80), n) > 0.5 * words  # has no marks at the end of a text either
-    running = known & (marked | thai) & (poem < 0.5 * chars) & (words >= 2)
+    # a sentence that is a line by itself may be a notice or a heading
+    on_line = np.bincount(line, minlength=len(lines.start))
+    first_line, last_line = np.full(n, -1), np.full(n, -2)
+    last_line[of] = line
+    first_line[of[::-1]] = line[::-1]
+    alone = (first_line == last_line) & (words == on_line[np.maximum(first_line, 0)]) & (chars < 80)
+    running = np.where(known & (marked | thai) & (poem < 0.5 * chars) & (words >= 2), np.where(alone, 1, 2), 0)
     return doc, begin, pos, np.where(known, order[:, 0], -1), np.where(known, margin, 0.0), running
 
 
@@ -307,7 +313,7 @@ def language_segments(docs: DataFrame, languages: DataFrame) -> DataFrame:
                 rows, last = [], None
                 for d, s, e, k, m, r in zip(doc.tolist(), start.tolist(), end.tolist(), lang.tolist(), sure.tolist(), running.tolist()):
                     if last is None or last[0] != d or k >= 0 and last[3] >= 0 and last[3] != k:
-                        last = [d, s, e, k, 0, 0, 0, 0.0, 0]
+                        last = [d, s, e, k, 0, 0, 0, 0.0, 0, False]
                         rows.append(last)
                     last[2] = e
                     if k >= 0:
@@ -317,11 +323,12 @@ def language_segments(docs: DataFrame, languages: DataFrame) -> DataFrame:
                     last[4] += 1
                     if r:
                         last[5] += 1
-                        last[6] = max(last[6], last[5])
+                        last[9] |= r > 1
+                        last[6] = max(last[6], last[5] if last[9] else 1)
                     elif k >= 0:
-                        last[5] = 0
+                        last[5], last[9] = 0, False
                 out, number = [], {}
-                for d, s, e, k, n, _, longest, m, count in rows:
+                for d, s, e, k, n, _, longest, m, count, _ in rows:
                     if k >= 0:
                         no = number[d] = number.get(d, -1) + 1
                         named = label_language(label[d], parser.names)
