@@ -32,3 +32,13 @@ def flag_map(flags: Column) -> Column:
     """Codec flags k:v;k:v as a map; values keep their further colons."""
     entries = F.transform(F.filter(F.split(flags, ";"), lambda x: x != ""), lambda x: F.struct(F.split(x, ":", 2)[0].alias("key"), F.coalesce(F.get(F.split(x, ":", 2), F.lit(1)), F.lit("")).alias("value")))
     return F.map_from_entries(entries)
+
+
+def first_given(*values: Column) -> Column:
+    """The first value that is neither NULL nor blank."""
+    return F.coalesce(*(F.when(F.trim(v) != "", v) for v in values))
+
+
+def stamp(t: Column, pdf: bool = False) -> Column:
+    """A UTC time as in PDF dates or as ISO seconds."""
+    return F.date_format(t, "'D:'yyyyMMddHHmmss'Z'" if pdf else "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -77,3 +77,20 @@ def without_draw_commands(content: Column, labels: Column) -> Column:
     """content with the lines that draw one of the labels emptied."""
     commands = F.transform(labels, lambda x: F.concat(F.lit("/"), x, F.lit(" Do")))
     return F.array_join(F.transform(F.split(content, "\n", -1), lambda line: F.when(F.array_contains(commands, F.trim(line)), "").otherwise(line)), "\n")
+
+
+def layer_views(images: DataFrame, masks_only: bool = False) -> DataFrame:
+    """(doc, page, ord, layer, xref): the images of each page, each followed by its mask; or the masks alone."""
+    image = F.struct(F.lit("image").alias("layer"), F.col("xref").alias("xref"))
+    mask = F.when(F.col("mask_xref") > 0, F.struct(F.lit("mask").alias("layer"), F.col("mask_xref").alias("xref")))
+    views = F.array(mask) if masks_only else F.array(image, mask)
+    return images.select("doc", "page", "ord", F.explode(F.filter(views, lambda v: v.isNotNull())).alias("v")).select("doc", "page", "ord", "v.layer", "v.xref")
+
+
+def copied_links(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """Links by address of pages that the new document has too, and how many others a page had.
+
+    links: (doc, page, kind, uri); pages: (doc, page).
+    """
+    kept = links.join(pages, ["doc", "page"])
+    return kept.groupBy("doc", "page").agg(F.count_if(F.col("kind") == "uri").alias("copied"), F.count_if(F.col("kind") != "uri").alias("skipped"))

@@ -90,7 +90,7 @@ def classified(series: DataFrame, strict: bool = False) -> DataFrame:
 
 def label_runs(series: DataFrame, strict: bool = False) -> DataFrame:
     """classified labels with run, the number of their run of consecutive labels of one kind."""
-    marked = classified(series, strict)
+    marked = classified(series, strict).persist()  # each step along the items reads its rows twice
     behind = with_context(marked, ["doc"], "idx", previous={"_before": F.struct("kind", "value")})
     was, value = F.col("_before")["kind"], F.col("_before")["value"]
     both = (F.col("kind") != L.INVALID) & (was != L.INVALID)

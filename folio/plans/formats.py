@@ -32,11 +32,11 @@ def scandata_round_trip(spark, d):
 
 def pdf_page_facts(spark, d):
     """Pages of the text-only documents, read from their bytes."""
-    s = placed(spark, d)
-    content = T.page_streams(s)
-    size = read(spark, d, "page_geometry").select("doc", "page_idx", F.lit(400.0).alias("width"), F.lit(600.0).alias("height"))
-    docs = pdf.text_pdfs(content.join(size, ["doc", "page_idx"]), read(spark, d, "items").select("doc", "title"))
-    return pdf.pdf_pages(docs.select("doc", "pdf")).groupBy("doc").agg(F.count("*").alias("pages"), F.count_if("has_text").alias("with_text"), F.max("rect")[2].alias("width"))
+    from folio.plans.text import text_parts
+    from folio.sources.pdf_parts import assembled
+
+    pages_ = pdf.pdf_pages(assembled(text_parts(spark, d)))
+    return pages_.groupBy("doc").agg(F.count("*").alias("pages"), F.count_if("has_text").alias("with_text"))
 
 
 def page_image_files(spark, d):
@@ -77,8 +77,9 @@ def recoded(spark, d):
 
     r = pages_of(spark, d).withColumn("doc", F.lit(2).cast("long")).drop("boxes", "dpi")
     only = lambda n: read(spark, d, n).where("doc = 2")
-    out = recode(r, only("ocr_words"), only("page_geometry"), only("scandata_pages"), only("items"), Options(bg_downsample=2))
-    return out.select("doc", "pages", "source_bytes", F.array_join("warnings", ",").alias("warnings"), (F.length("pdf") > 0).alias("written"))
+    parts, report = recode(r, only("ocr_words"), only("page_geometry"), only("scandata_pages"), only("items"), Options(bg_downsample=2))
+    size = parts.groupBy("doc").agg(F.sum(F.length("data")).alias("bytes"))
+    return report.join(size, "doc").select("doc", "pages", "source_bytes", (F.col("bytes") > 0).alias("written"), F.array_join("warnings", ",").alias("warnings"))
 
 
 def codec_commands(spark, d):
@@ -97,7 +98,7 @@ ORACLES = {
     "hocr_words": f"""WITH {WORDS_SQL}, n AS (SELECT w.*, imwidth, imheight, hocr_dpi, dense_rank() OVER (PARTITION BY w.doc, w.page_idx ORDER BY line) - 1 AS ln, row_number() OVER (PARTITION BY w.doc, w.page_idx, line ORDER BY word) - 1 AS wn FROM w JOIN page_geometry g ON w.doc = g.doc AND w.page_idx = g.page_idx)
       SELECT doc || '/' || page_idx AS doc, imwidth AS page_width, imheight AS page_height, hocr_dpi AS scan_res, ln::INT AS line_no, wn::INT AS word_no, trim(coalesce(text, '')) AS text, floor(conf * 1000 + 0.5)::BIGINT AS conf, floor(bbox.x0 * 1000 + 0.5)::BIGINT AS x0, floor(bbox.y1 * 1000 + 0.5)::BIGINT AS y1, floor(fontsize * 1000 + 0.5)::BIGINT AS fontsize, direction FROM n""",
     "scandata_round_trip": f"WITH {PAGES_SQL} SELECT doc, idx, leaf_num, page_type._VALUE AS kind, page_type._title AS title, add_to_access, nullif(trim(page_number), '') AS page_number, ppi FROM p",
-    "pdf_page_facts": f"WITH {WORDS_SQL} SELECT w.doc, count(DISTINCT w.page_idx) AS pages, count(DISTINCT w.page_idx) AS with_text, 400.0 AS width FROM w JOIN page_geometry g ON w.doc = g.doc AND w.page_idx = g.page_idx WHERE g.imwidth > 0 GROUP BY w.doc",
+    "pdf_page_facts": f"WITH {WORDS_SQL} SELECT w.doc, count(DISTINCT w.page_idx) AS pages, count(DISTINCT w.page_idx) AS with_text FROM w JOIN page_geometry g ON w.doc = g.doc AND w.page_idx = g.page_idx WHERE g.imwidth > 0 GROUP BY w.doc",
     "page_image_files": "SELECT k::INT AS page_idx, 'png' AS format, 256 AS probe_width, (least(25, n - k * 25) * 4)::INT AS probe_height, 'L' AS mode, true AS same FROM (SELECT count(*) AS n FROM embeddings), (SELECT unnest(range(0, 1000)) AS k) WHERE k * 25 < n",
     "page_json": "SELECT g.doc, count(*)::INT AS page_count, any_value(x) AS first_xref FROM page_geometry g LEFT JOIN (SELECT doc, arg_min(xref, ord) AS x FROM page_images WHERE page = 0 GROUP BY doc) i ON g.doc = i.doc GROUP BY g.doc",
     "codec_commands": "SELECT i AS implementation, e AS encoding, n AS threads, concat(CASE i WHEN 'kakadu' THEN 'kdu' WHEN 'openjpeg' THEN 'opj' ELSE 'grk' END, CASE WHEN i = 'kakadu' THEN CASE WHEN e THEN '_compress' ELSE '_expand' END ELSE CASE WHEN e THEN '_compress' ELSE '_decompress' END END, ' -x ', CASE i WHEN 'kakadu' THEN '-num_threads ' WHEN 'openjpeg' THEN '-threads ' ELSE '-H ' END, CASE WHEN i = 'kakadu' AND n = 1 THEN 0 ELSE n END) AS command FROM (SELECT unnest(['kakadu', 'openjpeg', 'grok']) AS i), (SELECT unnest([true, false]) AS e), (SELECT unnest([1, 4]) AS n)",

@@ -127,6 +127,35 @@ def link_counts(spark, d):
     return read(spark, d, "page_images").groupBy("doc").agg(F.count("*").alias("links"), F.count_if(kind == "named").alias("skipped"))
 
 
+def layer_views(spark, d):
+    return I.layer_views(read(spark, d, "page_images"))
+
+
+def mask_views(spark, d):
+    return I.layer_views(read(spark, d, "page_images"), masks_only=True)
+
+
+def copied_links(spark, d):
+    """Images stand for links, those with a mask by address; pages are the kept ones."""
+    links = read(spark, d, "page_images").select("doc", "page", F.when(F.col("mask_xref") > 0, "uri").otherwise("named").alias("kind"), "label")
+    kept = pages(spark, d).where(~S.is_skipped(F.col("add_to_access"))).select("doc", F.col("idx").alias("page"))
+    return I.copied_links(links, kept)
+
+
+def metadata_defaults(spark, d):
+    from folio.functions.text import first_given, stamp
+
+    i = read(spark, d, "items")
+    return i.select("doc", first_given(F.col("title"), F.col("source"), F.lit("No title")).alias("title"), stamp(F.col("scanned_at"), pdf=True).alias("created"), stamp(F.col("scanned_at")).alias("iso"))
+
+
+def ppi_of_width(spark, d):
+    """Pixels an inch of pages as wide as an image at its resolution, and of half that."""
+    g = read(spark, d, "page_geometry").where("imwidth > 0 and dpi is not null")
+    width = F.col("imwidth") * 72 / F.col("dpi")
+    return g.select("doc", "page_idx", F.floor(72 / (width / F.col("imwidth")) + 0.5).cast("int").alias("ppi"), F.floor(72 / (width / 2 / F.col("imwidth")) + 0.5).cast("int").alias("half"))
+
+
 def object_offsets(spark, d):
     i = read(spark, d, "page_images").withColumn("size", F.length(F.format_string("%d 0 obj %dx%d endobj", "xref", "width", "height")))
     return M.offsets(i, ["doc"], "xref", "size").select("doc", "xref", "size", "offset")
@@ -138,7 +167,7 @@ def file_names(spark, d):
     return read(spark, d, "page_geometry").select("doc", "page_idx", file_name(F.col("doc").cast("string"), F.col("page_idx"), "jp2").alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (timing_summary, timing_by_item, time_per_page, report_windows, compression_ratio, layer_breakdown, image_position, first_placement, mask_left_join, page_scale, scale_clamp, depth_sets, document_verdict, stream_formats, page_records, warning_union, link_counts, object_offsets, file_names)}
+QUERIES = {f.__name__: f for f in (timing_summary, timing_by_item, time_per_page, report_windows, compression_ratio, layer_breakdown, image_position, first_placement, mask_left_join, page_scale, scale_clamp, depth_sets, document_verdict, stream_formats, page_records, warning_union, link_counts, layer_views, mask_views, copied_links, metadata_defaults, ppi_of_width, object_offsets, file_names)}
 
 from folio.plans.pages import ORACLES as _P  # noqa: E402
 
@@ -162,6 +191,11 @@ ORACLES = {
     "page_records": "WITH i AS (SELECT doc, page, count(*) AS n, arg_min(xref, ord) AS x FROM page_images GROUP BY doc, page) SELECT g.doc, g.page_idx AS page, coalesce(n, -1)::INT AS images, x AS first_xref, concat('0,0,', imwidth, ',', imheight) AS rect FROM page_geometry g LEFT JOIN i ON g.doc = i.doc AND g.page_idx = i.page",
     "warning_union": f"{SIZE_SQL} SELECT doc, CASE WHEN bool_or(bad) THEN 'invalid-page-size' ELSE '' END AS warnings FROM w5 GROUP BY doc",
     "link_counts": "SELECT doc, count(*) AS links, count(*) FILTER (NOT coalesce(mask_xref > 0, false)) AS skipped FROM page_images GROUP BY doc",
+    "layer_views": "SELECT doc, page, ord, 'image' AS layer, xref FROM page_images UNION ALL SELECT doc, page, ord, 'mask', mask_xref FROM page_images WHERE mask_xref > 0",
+    "mask_views": "SELECT doc, page, ord, 'mask' AS layer, mask_xref AS xref FROM page_images WHERE mask_xref > 0",
+    "copied_links": f"WITH {PAGES_SQL} SELECT i.doc, i.page, count(*) FILTER (coalesce(mask_xref > 0, false)) AS copied, count(*) FILTER (NOT coalesce(mask_xref > 0, false)) AS skipped FROM page_images i JOIN p ON i.doc = p.doc AND i.page = p.idx WHERE NOT {SKIP_SQL} GROUP BY i.doc, i.page",
+    "metadata_defaults": "SELECT doc, CASE WHEN trim(title) <> '' THEN title WHEN trim(source) <> '' THEN source ELSE 'No title' END AS title, strftime(scanned_at, 'D:%Y%m%d%H%M%SZ') AS created, strftime(scanned_at, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM items",
+    "ppi_of_width": "SELECT doc, page_idx, floor(72 / (imwidth * 72 / dpi / imwidth) + 0.5)::INT AS ppi, floor(72 / (imwidth * 72 / dpi / 2 / imwidth) + 0.5)::INT AS half FROM page_geometry WHERE imwidth > 0 AND dpi IS NOT NULL",
     "object_offsets": "WITH i AS (SELECT *, length(xref || ' 0 obj ' || width || 'x' || height || ' endobj') AS size FROM page_images) SELECT doc, xref, size::INT AS size, coalesce(sum(size) OVER (PARTITION BY doc ORDER BY xref ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM i",
     "file_names": "SELECT doc, page_idx, doc || '_' || lpad(page_idx::VARCHAR, 6, '0') || '.jp2' AS name FROM page_geometry",
 }

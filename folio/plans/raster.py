@@ -100,12 +100,30 @@ def mask_denoise(spark, d):
     return a.join(b, ["doc", "page_idx"]).select("doc", "page_idx", "before", "after")
 
 
+def page_figures(spark, d):
+    """Noise of each page of bytes, and the mean of its adaptive grey with the page as all three channels."""
+    from folio.operators import kernels as K
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                v = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width)
+                rows.append((r.page_idx, round(K.page_noise_level(v), 6), round(float(K.adaptive_gray(np.dstack([v] * 3)).mean()), 6), int(K.partial_blur(v < 100, v).mean()), int(K.total_variation(v < 100).sum())))
+            yield pd.DataFrame(rows, columns=["page_idx", "noise", "grey", "blurred", "smooth"])
+
+    return pages_of(spark, d).select("page_idx", "height", "width", "data").mapInPandas(run, "page_idx int, noise double, grey double, blurred int, smooth long")
+
+
 def step_timings(spark, d):
     c = components(pages_of(spark, d))
     return c.select("doc", "page_idx", F.explode("timing").alias("t")).groupBy("t.key").agg(F.count("*").alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (sauvola_mean, sauvola_mask, line_threshold, mask_ratio, mask_union, mask_complement, neighbour_count, channel_stats, page_colour_mode, grey_levels, level_stretch, layer_composite, mrc_components, layer_fill, mask_denoise, step_timings)}
+QUERIES = {f.__name__: f for f in (sauvola_mean, sauvola_mask, line_threshold, mask_ratio, mask_union, mask_complement, neighbour_count, channel_stats, page_colour_mode, grey_levels, level_stretch, layer_composite, mrc_components, layer_fill, mask_denoise, page_figures, step_timings)}
 
 RASTER_SQL = "ra AS (SELECT vec_id AS y, unnest(range(0, len(embedding)))::INT AS x, unnest(embedding) AS e FROM embeddings), px AS (SELECT y, x, least(255, greatest(0, floor(e::DOUBLE * 255 + 128)))::INT AS p FROM ra)"
 

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.geometry import whole_number
 from folio.operators import geometry as OG
 from folio.operators import scandata as S
 from folio.operators import text_layer as T
 from folio.operators.mrc import DENOISE, components
-from folio.sources.pdf import build
+from folio.sources.pdf_parts import document_parts
 
 MODES = ("mrc", "skip")
 
@@ -53,17 +51,17 @@ def text_boxes(words: DataFrame, downsample: int | None = None) -> DataFrame:
     return good.groupBy("doc", "page_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "b"))), lambda x: x["b"]).alias("boxes"))
 
 
-def recode(rasters: DataFrame, words: DataFrame, geometry: DataFrame, scandata: DataFrame, items: DataFrame, options: Options = Options()) -> DataFrame:
-    """(doc, pages, pdf, source_bytes, warnings).
+def recode(rasters: DataFrame, words: DataFrame, geometry: DataFrame, scandata: DataFrame, items: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """The documents' parts (doc, seq, data) and a report (doc, pages, source_bytes, warnings).
 
     rasters: (doc, page_idx, height, width, channels, data); the other tables as in the catalogue.  Skipped pages go
-    before any raster is read.  A document is one file, so its encoded pages meet in one group.
+    before any raster is read, and each page is decomposed and encoded where it lies.
     """
-    pages = S.pages_once(scandata)
+    pages = S.pages_once(scandata).persist()
     kept = S.output_index(pages).where(~F.col("skipped"))
     if options.limit:
         kept = kept.where(F.col("out_idx") < options.limit)
-    kept = kept.select("doc", F.col("idx").alias("page_idx"), "out_idx")
+    kept = kept.select("doc", F.col("idx").alias("page_idx"), "out_idx").persist()
     once = T.words_once(words)
     sizes = OG.page_sizes(OG.with_document(geometry, items)).where("imwidth > 0").select("doc", "page_idx", "ppi", F.col("width").alias("page_width"), F.col("height").alias("page_height"), "warnings")
     content = T.page_streams(T.placed_words(once, sizes.select("doc", "page_idx", "ppi", F.col("page_height").alias("height"))), options.visible_text)
@@ -85,35 +83,13 @@ def recode(rasters: DataFrame, words: DataFrame, geometry: DataFrame, scandata:
         out = out.withColumn("warnings", F.array_union("warnings", F.coalesce("layer_warnings", F.array().cast("array<string>"))))
     else:
         out = out.withColumn("source_bytes", F.lit(0))
-    toc = S.table_of_contents(pages).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("idx", "level", "title", "accessible_page"))).alias("toc"))
+    toc = S.table_of_contents(pages).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "level", "title", "accessible_page"))), lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"), x["accessible_page"].alias("page"))).alias("toc"))
     labels = S.label_dictionary(S.label_bounds(pages.where(~S.is_skipped(F.col("add_to_access"))).select("doc", "idx", F.col("page_number").alias("label"))))
-    out = out.join(items.select("doc", "title"), "doc", "left").join(toc, "doc", "left").join(labels, "doc", "left")
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("out_idx")
-        pages_ = []
-        for r in pdf.itertuples():
-            images = []
-            mask = getattr(r, "mask", None)
-            if isinstance(mask, bytes | bytearray):
-                h, w = int(r.mask_height), int(r.mask_width)
-                bits = np.frombuffer(mask, np.uint8)
-                m = {"width": w, "height": h, "data": bits.tobytes(), "bits": 1}
-                if options.bitonal:
-                    images = [{"width": w, "height": h, "data": (~bits).tobytes(), "bits": 1}]
-                else:
-                    for name, with_mask in (("bg", False), ("fg", True)):
-                        lh, lw = int(getattr(r, f"{name}_height")), int(getattr(r, f"{name}_width"))
-                        data = r.background if name == "bg" else r.foreground
-                        images.append({"width": lw, "height": lh, "data": data, "components": len(data) // (lh * lw), "mask": m if with_mask else None})
-            pages_.append({"width": r.page_width, "height": r.page_height, "content": r.content if isinstance(r.content, str) else "", "images": images})
-        first = pdf.iloc[0]
-        toc_ = [(int(x["level"]), x["title"], int(x["accessible_page"])) for x in (first["toc"] if first["toc"] is not None else ())]
-        data = build(pages_, first["title"] or "", options.language, first["nums"], toc_, datetime(2000, 1, 1, tzinfo=UTC))
-        warned = sorted({w for ws in pdf["warnings"] for w in (ws if ws is not None else ())})
-        return pd.DataFrame({"doc": [key[0]], "pages": [len(pdf)], "pdf": [data], "source_bytes": [int(pdf["source_bytes"].fillna(0).sum())], "warnings": [warned]})
-
-    return out.groupBy("doc").applyInPandas(one, "doc long, pages int, pdf binary, source_bytes long, warnings array<string>")
+    named = items.select("doc", "title").dropDuplicates(["doc"]).join(toc, "doc", "left").join(labels, "doc", "left")
+    report = out.groupBy("doc").agg(F.count("*").alias("pages"), F.sum("source_bytes").alias("source_bytes"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("warnings")))).alias("warnings"))
+    encoded = out.withColumnRenamed("page_width", "width").withColumnRenamed("page_height", "height").drop("page_idx", "warnings", "source_bytes").withColumnRenamed("out_idx", "page_idx")
+    keys = kept.join(sizes.select("doc", "page_idx"), ["doc", "page_idx"]).select("doc", F.col("out_idx").alias("page_idx"))
+    return document_parts(encoded, named, options.language, options.bitonal, keys=keys), report
 
 
 def _grey(data: str, channels: str):

@@ -95,13 +95,20 @@ def text_streams(spark, d):
     return s.select("doc", "page_idx", F.length("content").alias("length"), F.sha2("content", 256).alias("sha"))
 
 
-def text_pdf(spark, d):
-    """A text-only PDF of each item with OCR words."""
-    from folio.sources.pdf import text_pdfs
+def text_parts(spark, d):
+    """The text-only documents of the items with OCR words, as parts."""
+    from folio.sources.pdf_parts import document_parts
 
     s = page_sizes(with_document(read(spark, d, "page_geometry"), read(spark, d, "items"))).where("imwidth > 0").select("doc", "page_idx", "width", "height")
-    pages = T.page_streams(placed(spark, d)).join(s, ["doc", "page_idx"])
-    return text_pdfs(pages, read(spark, d, "items").select("doc", "title")).select("doc", "pages", F.length("pdf").alias("bytes"))
+    content = T.page_streams(placed(spark, d)).join(s, ["doc", "page_idx"])
+    titles = read(spark, d, "items").select("doc", "title", F.lit(None).cast("string").alias("nums"), F.lit(None).cast("array<struct<level:int,title:string,page:int>>").alias("toc"))
+    keys = read(spark, d, "ocr_words").select("doc", "page_idx").distinct().join(s.select("doc", "page_idx"), ["doc", "page_idx"])
+    return document_parts(content, titles, keys=keys)
+
+
+def text_pdf(spark, d):
+    """Size and number of parts of each text-only document."""
+    return text_parts(spark, d).groupBy("doc").agg(F.count("*").alias("parts"), F.sum(F.length("data")).alias("bytes"))
 
 
 def codec_arguments(spark, d):

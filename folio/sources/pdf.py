@@ -154,18 +154,6 @@ def _outline(b: Builder, toc: list, kids: list[int]) -> int | None:
     return root
 
 
-def text_pdfs(pages: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc, pages, pdf) of page contents (doc, page_idx, width, height, content); a document is one file, so one group."""
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page_idx")
-        title = next((t for t in pdf["title"] if isinstance(t, str)), "")
-        data = build([{"width": r.width, "height": r.height, "content": r.content} for r in pdf.itertuples()], title, created=datetime(2000, 1, 1, tzinfo=UTC))
-        return pd.DataFrame({"doc": [key[0]], "pages": [len(pdf)], "pdf": [data]})
-
-    return pages.join(items, "doc", "left").groupBy("doc").applyInPandas(one, "doc long, pages int, pdf binary")
-
-
 _OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
 
 

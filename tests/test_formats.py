@@ -7,7 +7,7 @@ from io import BytesIO
 import numpy as np
 import pytest
 
-from folio.sources import archive, codecs, hocr, images, pdf, scandata
+from folio.sources import archive, codecs, hocr, images, pdf, pdf_parts, scandata
 
 
 def test_png_and_pnm():
@@ -75,6 +75,33 @@ def test_pdf_offsets_and_facts():
         pdf.Builder().image(0, 1, b"")
 
 
+def test_parts_of_documents(spark, tmp_path):
+    rows = [(d, p, 100.0, 50.0, f"BT [ <{p:04X}> ] TJ ET", b"\xf0" * 2, 2, 4, bytes(8), 2, 4, bytes(24), 2, 4) for d, n in ((1, 70), (2, 1)) for p in range(0, 2 * n, 2)]
+    pages = spark.createDataFrame(rows, "doc long, page_idx int, width double, height double, content string, mask binary, mask_height int, mask_width int, background binary, bg_height int, bg_width int, foreground binary, fg_height int, fg_width int")
+    docs = spark.createDataFrame([(1, "T & <t>", "0 << /S /D /St 1 >>", [(1, "One", 0), (2, "Two", 1), (1, "Three", 69), (1, "gone", 70)]), (2, None, None, None), (3, "none", None, None)], "doc long, title string, nums string, toc array<struct<level:int,title:string,page:int>>")
+    parts = pdf_parts.document_parts(pages, docs, "en")
+    pdf_parts.write_files(parts, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["1.pdf", "2.pdf"]
+    for r in pdf_parts.assembled(parts).collect():
+        data = bytes(r.pdf)
+        assert (tmp_path / f"{r.doc}.pdf").read_bytes() == data
+        at = int(re.search(rb"startxref\n(\d+)\n%%EOF\n$", data)[1])
+        lines = data[at:].split(b"\n")
+        n = int(lines[1].split()[1])
+        table = lines[2 : 2 + n]
+        assert lines[0] == b"xref" and len(table) == n and all(len(x) == 19 for x in table)
+        for k, x in enumerate(table):
+            if x.endswith(b"n "):
+                assert data[int(x[:10]) :].startswith(b"%d 0 obj" % k)
+        used = {k for k, x in enumerate(table) if x.endswith(b"n ")}
+        assert {int(x) for x in re.findall(rb"(\d+) 0 R", data)} <= used
+        got = pdf.Reader(data).pages()
+        assert [bool(p["has_text"]) for p in got] == [True] * (70 if r.doc == 1 else 1)
+        assert [(i["width"], bool(i["mask_xref"])) for i in got[0]["images"]] == [(4, False), (4, True)]
+    one = bytes(pdf_parts.assembled(parts).where("doc = 1").first().pdf)
+    assert one.count(b"/Dest") == 3 and b"/PageLabels" in one and b"/Limits [64 69]" in one
+
+
 def test_codecs():
     assert codecs.default_flags("jpeg2000", "kakadu", "fg") == "-slope 44500" and codecs.default_flags("jpeg", "kakadu", "bg", True) == "-S40"
     assert codecs.command("kakadu", True, []) == ["kdu_compress", "-num_threads", "0"]
