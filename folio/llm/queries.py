@@ -13,7 +13,7 @@ from .pages import page_noise, page_paragraphs
 from .pieces import split_texts
 from .quality import quality, unnatural_texts
 from .sentences import sentence_model, sentence_units
-from .util import table
+from .util import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_units(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of all documents."""
     docs = table(spark, d, "documents")
-    return sentence_units(docs, sentence_model(docs))
+    return sentence_units(spread(docs.select("doc_id", "text")), sentence_model(docs))
 
 
 def _limits(spark: SparkSession, d: str, purpose: str) -> list[tuple[int, int]]:

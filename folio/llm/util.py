@@ -37,7 +37,10 @@ def bounded_rows(df: DataFrame, most: int = BROADCAST_ROWS) -> list | None:
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """df over at least as many partitions as there are cores, without a shuffle where it has them."""
+    """df, a plain scan, over at least as many partitions as there are cores; no shuffle where it has them.
+
+    Counting the partitions of a join would run it, so joins are not passed through here.
+    """
     want = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
