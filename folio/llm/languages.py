@@ -343,3 +343,16 @@ def language_segments(docs: DataFrame, languages: DataFrame) -> DataFrame:
 def unnamed_languages(segments: DataFrame, least: int = 2) -> DataFrame:
     """(doc_id, lang): languages with least consecutive sentences of running text that the label does not name."""
     return segments.where((F.col("running") >= least) & (F.col("label").isNull() | (F.col("label") != F.col("lang")))).select("doc_id", "lang").distinct()
+
+
+def document_languages(segments: DataFrame) -> DataFrame:
+    """(doc_id, lang, share, confidence, languages): the language of most of each document's characters.
+
+    share is its part of the characters that tell a language, confidence that of its segments weighted by length;
+    documents without such a segment have no row.
+    """
+    size = (F.col("end") - F.col("start")).cast("double")
+    own = segments.groupBy("doc_id", "lang").agg(F.sum(size).alias("size"), (F.sum(size * F.col("confidence")) / F.sum(size)).alias("confidence"))
+    most = F.max_by(F.struct("lang", "size", "confidence"), F.struct("size", "lang"))
+    total = own.groupBy("doc_id").agg(most.alias("m"), F.sum("size").alias("all"), F.count("*").cast("int").alias("languages"))
+    return total.select("doc_id", F.col("m.lang").alias("lang"), (F.col("m.size") / F.col("all")).alias("share"), F.col("m.confidence").alias("confidence"), "languages")

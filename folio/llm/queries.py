@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .languages import language_segments, unnamed_languages
+from .languages import document_languages, language_segments, unnamed_languages
 from .leaks import leaked, without_leaks
 from .lines import repeated_lines, without_lines
 from .packing import pack_texts
@@ -47,6 +47,11 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
     return language_segments(table(spark, d, "documents"), table(spark, d, "languages"))
 
 
+def p3_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's language with its share and confidence."""
+    return document_languages(p3_segments(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return unnatural_texts(quality(table(spark, d, "documents"), table(spark, d, "languages"))).distinct()
 
@@ -107,5 +112,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_repairs, p2_text, p3_found, p3_segments, p4_found, p4_stats, p5_found, p5_units, p6_packing, p6_fill, p7_found, p7_clean, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_repairs, p2_text, p3_found, p3_segments, p3_documents, p4_found, p4_stats, p5_found, p5_units, p6_packing, p6_fill, p7_found, p7_clean, p8_found, p8_pieces)}
 ORACLES: dict[str, str] = {}

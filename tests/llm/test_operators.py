@@ -169,6 +169,8 @@ def test_languages(spark, langs):
     seg = languages.language_segments(df, langs)
     found = {(r.doc_id, r.lang) for r in languages.unnamed_languages(seg).collect()}
     assert found == {(200, "de"), (201, "de"), (203, "de")}
+    whole = {r.doc_id: r for r in languages.document_languages(seg).collect()}
+    assert whole[0].lang == "en" and whole[200].lang == "de" and whole[201].languages == 2 and 0.5 < whole[201].share < 1 and 204 not in whole
     mixed = sorted((r.segment, r.lang) for r in seg.where("doc_id = 201").collect())
     assert [x for _, x in mixed] == ["en", "de"] and all(0 < r.confidence <= 1 for r in seg.collect())
     assert languages.language_segments(df.limit(0), langs).count() == 0
