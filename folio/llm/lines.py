@@ -88,6 +88,8 @@ def key_text(line: str) -> str:
 
 def _undated(line: str) -> str:
     """The key of a line whose month names, next to a figure, may be misread."""
+    line = re.sub(r"(?<=[^\W\d_])[^\w\s](?=[^\W\d_])", "", line)  # a speck within a word
+    line = re.sub(r"(?<=[^\W\d_])\d(?=[^\W\d_])", "x", line)  # a letter read as a figure
     tokens = re.findall(r"[^\W\d_]+|\d+", line)
 
     def month(k: int) -> bool:
@@ -204,7 +206,7 @@ def edits(a: str, b: str, most: int) -> int:
 
 def tolerance(n: int) -> int:
     """Misread characters allowed in a line of n letters."""
-    return max(2, n // 9)
+    return max(3, n // 9)
 
 
 def group_candidates(rows: list[tuple[str, int, str, int]]) -> list[tuple[str, int, str, int]]:
