@@ -197,9 +197,11 @@ def unnatural_texts(scored: DataFrame, least: float = 25.0) -> DataFrame:
     """
     z, v = lambda s: F.col(f"z_{s}"), F.col
     few = F.lit(0.3) - 0.4 / F.sqrt(F.exp("words"))  # a single sentence may hold few common words by chance
+    # words in small letters, unless it is a list of them; or words broken up by signs
+    odd = (v("capitals") < 0.4) & ((v("fresh_lines") < 0.8) | (v("symbols") > 0.25)) | (z("word_length") < -4) & (v("symbols") > 0.12)
     kind = (
         F.when((z("digits") > 8) & (v("digits") >= 0.2) & ((v("line_words") < 1.1) | (v("digits") >= 0.3)), "table")
-        .when((z("common") < -3) & ((v("common") < few) & (z("confidence") < -4) | (v("common") < few - 0.05) & (v("capitals") < 0.4)), "junk")
+        .when((z("common") < -3) & ((v("common") < few) & (z("confidence") < -4) | (v("common") < few - 0.05) & odd), "junk")
         .when((v("fresh_lines") > 0.55) & (z("fresh_lines") > 3) & (v("line_ends") < 0.25), "list")
         .when((v("bullets") > 0.5) & (z("bullets") > 8) & (z("common") < -1.5) & (v("line_ends") < 0.25), "list")
     )
