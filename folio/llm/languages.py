@@ -226,8 +226,8 @@ def sentences(parser: Parser, profile: Profile, texts: list, sources: list):
     words = np.bincount(of, minlength=n)
     poem = np.bincount(of, verse[line] * (end - start), n)
     cost = np.zeros((n, len(parser.langs)))
-    for k in range(len(parser.langs)):
-        cost[:, k] = np.bincount(of, parser.costs[row, k], n)
+    head = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))  # tokens come sentence by sentence
+    cost[of[head]] = np.add.reduceat(parser.costs[row], head, axis=0)
     order = np.argsort(cost, 1, kind="stable")[:, :2]
     best = cost[np.arange(n), order[:, 0]]
     second = cost[np.arange(n), order[:, 1]] if len(parser.langs) > 1 else chars + words
