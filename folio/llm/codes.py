@@ -65,10 +65,23 @@ class Codes:
         self.end = np.cumsum(lens + 1) - 1
         self.start = self.end - lens
         kinds, lower = tables()
-        small = np.minimum(self.cp, 65536)
+        small = self._small = np.minimum(self.cp, 65536)
+        self._sums = None
         self.kind = kinds[small]
         self.low = np.where(small == 65536, self.cp, lower[small])
 
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """range_hash of the lower-case text, whose prefix sums are made once."""
+        if self._sums is None:
+            self._sums = prefix_sums(self.low)
+        return sums_hash(self._sums, start, end)
+
+    def within(self, chars: str) -> np.ndarray:
+        """Which characters are among a few of the basic plane."""
+        lut = np.zeros(65537, bool)
+        lut[[ord(x) for x in chars]] = True
+        return lut[self._small]
+
     def is_kind(self, *kinds: int) -> np.ndarray:
         lut = np.zeros(10, bool)
         lut[list(kinds)] = True
@@ -89,17 +102,26 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for every range; equal content gives an equal hash."""
+def prefix_sums(values: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        up, down = powers(len(values) + 1)
         total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(len(values) + 1)[0][:-1], out=total[1:])
+    return total
+
+
+def sums_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        down = powers(len(total))[1]
         h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _MIX
         h = (h ^ (h >> np.uint64(29))) * _MIX
         return h ^ (h >> np.uint64(32))
 
 
+def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of values[start:end] for every range; equal content gives an equal hash."""
+    return sums_hash(prefix_sums(values), start, end)
+
+
 def hash_words(words: list[str]) -> np.ndarray:
     """The hash that range_hash gives each of these strings."""
     if not words:

@@ -111,7 +111,7 @@ class Parser:
             for script, n in letters.items():
                 if n > 0.1 * sum(letters.values()):
                     self.of_script[script].append(k)
-        self.keys, self.costs = np.zeros(0, np.uint64), np.zeros((0, len(self.langs)), np.float32)
+        self.keys, self.rows, self.costs = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, len(self.langs)), np.float32)
 
     def cost(self, word: str) -> np.ndarray:
         out = np.full(len(self.langs), len(word), np.float32)
@@ -123,27 +123,30 @@ class Parser:
 
     def lookup(self, c: Codes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Row of self.costs of each token."""
-        h = codes.range_hash(c.low, start, end)
-        distinct, first = np.unique(h, return_index=True)
-        new = codes.among(self.keys, distinct) < 0
-        if new.any():
-            if len(self.keys) > 1_000_000:
-                self.keys, self.costs = self.keys[:0], self.costs[:0]
-                new[:] = True
-            words = ["".join(map(chr, c.low[start[k] : end[k]].tolist())) for k in first[new].tolist()]
-            keys = np.concatenate((self.keys, distinct[new]))
-            costs = np.concatenate((self.costs, np.array([self.cost(w) for w in words], np.float32).reshape(len(words), len(self.langs))))
+        h = c.hashes(start, end)
+        if len(self.keys) > 1_000_000:
+            self.keys, self.rows, self.costs = self.keys[:0], self.rows[:0], self.costs[:0]
+        at = codes.among(self.keys, h)
+        out = self.rows[at] if len(self.rows) else at.copy()
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            distinct, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            words = ["".join(map(chr, c.low[start[k] : end[k]].tolist())) for k in new[first].tolist()]
+            rows = len(self.costs) + np.arange(len(words))
+            self.costs = np.concatenate((self.costs, np.array([self.cost(w) for w in words], np.float32).reshape(len(words), len(self.langs))))
+            keys, every = np.concatenate((self.keys, distinct)), np.concatenate((self.rows, rows))
             order = np.argsort(keys)
-            self.keys, self.costs = keys[order], costs[order]
-        return codes.among(self.keys, h)
+            self.keys, self.rows = keys[order], every[order]
+            out[new] = rows[back]
+        return out
 
 
 def sentence_breaks(c: Codes, lines: LineKeys) -> tuple[np.ndarray, np.ndarray]:
     """Positions just after which a sentence ends, and whether a mark ended it (else an empty line or the text's end)."""
     n = len(c.cp)
-    final = np.isin(c.cp, [ord(x) for x in ".!?…。！？।؟۔"])
-    wide = np.isin(c.cp, [ord(x) for x in "。！？।؟"])
-    closer = np.isin(c.cp, [ord(x) for x in "\"'”’»)]」』）“‘"])
+    final = c.within(".!?…。！？।؟۔")
+    wide = c.within("。！？।؟")
+    closer = c.within("\"'”’»)]」』）“‘")
     space = c.is_kind(codes.SPACE, codes.NEWLINE)
     visible = np.flatnonzero(~space & (c.kind != codes.FORMAT))
     at = np.flatnonzero(final)

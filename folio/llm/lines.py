@@ -62,7 +62,7 @@ class LineKeys:
         n = counts_before(letter)
         self.letters = n[self.end] - n[self.start]
         s, e = runs(wordy)
-        drop = (e - s < 2) | (among(_months(), range_hash(c.low, s, e)) >= 0)
+        drop = (e - s < 2) | (among(_months(), c.hashes(s, e)) >= 0)
         edge = np.zeros(len(wordy) + 1, np.int8)
         edge[s[drop]] = 1
         edge[e[drop]] -= 1

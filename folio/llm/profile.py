@@ -91,7 +91,7 @@ def _scan(names: dict[str, str], with_lines: bool, drop_share: float, min_letter
                 own = np.array(langs[part], object)
                 tags, ids = np.unique(own, return_inverse=True)
                 start, end = codes.units(keys.codes)
-                word = codes.range_hash(keys.codes.low, start, end)
+                word = keys.codes.hashes(start, end)
                 lang = ids[np.searchsorted(keys.codes.end, start)]
                 for g, tag in enumerate(tags):
                     if tag:

@@ -57,7 +57,7 @@ def text_stats(texts: list, sources: list, labels: list, confidence: list, profi
     start, end, unit_doc = start[keep], end[keep], lines.doc[line_of[keep]]
     units = np.bincount(unit_doc, minlength=n).astype(float)
     langs, hashes, has = profile.tables()
-    at = codes.among(hashes, codes.range_hash(c.low, start, end))
+    at = codes.among(hashes, c.hashes(start, end))
     hit = np.flatnonzero(at >= 0)
     common = np.zeros((n, len(langs)))
     for k in range(len(langs)):
