@@ -70,14 +70,22 @@ def page_json(spark, d):
     return j.select("doc", F.get_json_object("json", "$.page_count").cast("int").alias("page_count"), F.get_json_object("json", "$.page_data[0].image_data[0].xref").cast("int").alias("first_xref"))
 
 
-def recoded(spark, d):
-    """Layered documents of the pages of bytes, with the text layer of the same pages."""
+def item_rasters(spark, d):
+    """A raster for every page of every item: the strips of the test vectors, dealt out over docs and pages in turn."""
     from folio.plans.raster import pages_of
+
+    strips = pages_of(spark, d).drop("doc", "boxes", "dpi").withColumnRenamed("page_idx", "strip")
+    number = read(spark, d, "embeddings").agg((F.expr("max(vec_id) div 25") + 1).alias("strips"))
+    keys = read(spark, d, "page_geometry").select("doc", "page_idx").distinct().crossJoin(F.broadcast(number))
+    dealt = keys.select("doc", "page_idx", F.pmod(F.col("doc") + F.col("page_idx"), F.col("strips")).cast("int").alias("strip"))
+    return dealt.join(strips, "strip").drop("strip")
+
+
+def recoded(spark, d):
+    """Layered documents of all items with pages, their pages of bytes with the text layer of the same pages."""
     from folio.plans.recode import Options, recode
 
-    r = pages_of(spark, d).withColumn("doc", F.lit(2).cast("long")).drop("boxes", "dpi")
-    only = lambda n: read(spark, d, n).where("doc = 2")
-    parts, report = recode(r, only("ocr_words"), only("page_geometry"), only("scandata_pages"), only("items"), Options(bg_downsample=2))
+    parts, report = recode(item_rasters(spark, d), *(read(spark, d, n) for n in ("ocr_words", "page_geometry", "scandata_pages", "items")), Options(bg_downsample=2))
     size = parts.groupBy("doc").agg(F.sum(F.length("data")).alias("bytes"))
     return report.join(size, "doc").select("doc", "pages", "source_bytes", (F.col("bytes") > 0).alias("written"), F.array_join("warnings", ",").alias("warnings"))
 
