@@ -1,10 +1,10 @@
 """Problem 8: splitting oversized texts at natural boundaries by content-defined chunking.
 
-A rolling hash over WINDOW code points marks landmarks, about one in ``stride`` positions.  A piece ends at the
-natural boundary nearest the first landmark that lies between the minimum and the maximum size after its start,
-so an edit moves the cuts near it and the later ones fall back on the same landmarks.  The boundary is the
-best kind within reach: paragraph, line, sentence, word; a run without any is cut at a token.  Sizes are tokens
-of a public tokenizer; the next piece starts ``overlap`` tokens before the cut.
+A rolling hash over WINDOW code points gives every position a rank that depends on the characters before it alone.
+Between the minimum and the maximum size after its start a piece ends at the natural boundary of the lowest rank,
+so an edit moves the cuts near it and the later ones fall back on the same places, in any script.  Only boundaries
+of the best kind within reach compete: paragraph, line, sentence, word; a run without any is cut at the position of
+the lowest rank.  Sizes are tokens of a public tokenizer; the next piece starts ``overlap`` tokens before the cut.
 
 Defined results: NULL and empty texts give no piece; a text within the capacity gives one, the text itself; the
 pieces without their overlaps joined in order give the text back; equal rows give equal pieces; other columns
@@ -56,13 +56,12 @@ def boundaries(c: Codes) -> np.ndarray:
     return out
 
 
-def landmarks(c: Codes, stride: int) -> np.ndarray:
-    """Positions whose preceding WINDOW code points hash to a multiple of stride."""
-    if len(c.cp) <= WINDOW:
-        return np.zeros(0, np.int64)
-    s = np.arange(len(c.cp) - WINDOW)
-    h = codes.range_hash(c.cp, s, s + WINDOW)
-    return np.flatnonzero(h % np.uint64(stride) == 0) + WINDOW
+def ranks(c: Codes, size: int) -> np.ndarray:
+    """Hash of the WINDOW code points before each of the positions 0 to size; the first ones come last."""
+    out = np.full(size + 1, ~np.uint64(0))
+    s = np.arange(max(0, size + 1 - WINDOW))
+    out[WINDOW:] = codes.range_hash(c.cp, s, s + WINDOW)
+    return out
 
 
 def cuts(text: str, capacity: int, overlap: int, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> list[tuple[int, int, int, str]]:
@@ -82,8 +81,7 @@ def cuts(text: str, capacity: int, overlap: int, folder: str = FOLDER, vocabular
     grade = boundaries(c)[: size + 1]
     most = capacity - overlap - 2  # two tokens for a cut within a token at either end
     least = max(1, most // 2)
-    stride = max(1, int(size / len(ids) * (most - least) / 4))
-    marks = landmarks(c, stride)
+    rank = ranks(c, size)
     natural = [np.flatnonzero(grade <= g) for g in (1, 2, 3, 4)]
 
     def choose(cut: int, room: int, least: int) -> tuple[int, int]:
@@ -92,15 +90,11 @@ def cuts(text: str, capacity: int, overlap: int, folder: str = FOLDER, vocabular
         high = int(np.searchsorted(before, before[cut] + room, "right")) - 1
         low = max(min(low, high), cut + 1)
         high = max(high, cut + 1)
-        k = int(np.searchsorted(marks, low, "left"))
-        mark = int(marks[k]) if k < len(marks) and marks[k] <= high else high
         for g, places in enumerate(natural, 1):
-            span = max(1, (high - low) // 2) if g < 4 else high - low
-            a, b = np.searchsorted(places, [max(low, mark - span), min(high, mark + span) + 1])
+            a, b = np.searchsorted(places, [low, high + 1])
             if b > a:
-                near = places[a:b]
-                return int(near[np.argmin(np.abs(near - mark))]), g
-        return high, 5
+                return int(places[a + np.argmin(rank[places[a:b]])]), g
+        return low + int(np.argmin(rank[low : high + 1])), 5
 
     out, cut, start = [], 0, 0
     while True:
