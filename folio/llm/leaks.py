@@ -261,7 +261,10 @@ SCHEMA = "doc_id long, item_id long, start long, end long, words double, share d
 
 
 def leaked(docs: DataFrame, items: DataFrame, least_words: int = 20, most_items: int = 100_000) -> DataFrame:
-    """(doc_id, item_id, start, end, words, share): the longest passage of each item in each text, in code points."""
+    """(doc_id, item_id, start, end, words, share): the passages of each item in each text, in code points.
+
+    Of passages of one item that overlap the longest is kept.
+    """
     rows = bounded_rows(items.where("item_id is not null and text is not null").select("item_id", "text"), most_items)
     if rows is None:
         raise ValueError(f"over {most_items} test items: call with blocks of them")
@@ -280,20 +283,26 @@ def leaked(docs: DataFrame, items: DataFrame, least_words: int = 20, most_items:
                 out = []
                 for k in range(len(own)):
                     a, b = int(edge[k]), int(edge[k + 1])
-                    best: dict[int, tuple] = {}
+                    found: dict[int, list] = {}
+                    reach: dict[int, int] = {}  # the last word of the item's passages so far; anchors come in order
                     text = None
                     for at, item, pos in tests.anchors(words[a:b]):
-                        if item in best and best[item][1] <= at <= best[item][2]:
+                        if at <= reach.get(item, -1):
                             continue
                         if text is None:
                             f, z = first[a:b], last[a:b]
                             text = _Text(c.joined, words[a:b].tolist(), f.tolist(), z.tolist(), feeds[f].tolist(), feeds[z - 1].tolist())
                         la, ra, lb, rb = tests.follow(text, at, item, pos)
                         covered = sum(tests.weight[item][lb : rb + 1])
-                        if item not in best or covered > best[item][0]:
-                            best[item] = (covered, la, ra)
-                    for item, (covered, la, ra) in best.items():
+                        reach[item] = max(ra, reach.get(item, -1))
                         if covered >= least_words or covered >= tests.total[item]:
+                            found.setdefault(item, []).append((covered, la, ra))
+                    for item, passages in found.items():
+                        kept: list[tuple] = []
+                        for covered, la, ra in sorted(passages, key=lambda x: -x[0]):
+                            if any(la <= y and x <= ra for x, y in kept):
+                                continue
+                            kept.append((la, ra))
                             out.append((own[k], tests.ids[item], int(first[a + la] - c.start[k]), int(last[a + ra] - c.start[k]), covered, covered / tests.total[item]))
                 cols = list(zip(*out)) or [()] * 6
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
