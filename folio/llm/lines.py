@@ -9,6 +9,8 @@ of it, and exact document counts decide which candidates are confirmed.
 The key of a line is its letters in lower case, without one-letter words and month names: letter case, spacing,
 marks, figures, dates and shelf letters do not change it.
 
+Candidates of up to ``most_broadcast`` lines are broadcast; beyond that rows and candidates meet by source.
+
 Defined results: a NULL source is no site, so its rows are never cases; NULL and empty texts have no lines but
 count as documents of their source; a row that comes twice (same id) counts once; other columns are ignored.
 """
@@ -293,50 +295,146 @@ class _Index:
 FOUND = "doc_id long, source string, line_no int, grp long"
 
 
-def _find(index, min_letters: int):
-    def run(batches):
-        for batch in batches:
-            ids, sources, texts = (batch.column(c).to_pylist() for c in ("doc_id", "source", "text"))
-            if index is None:  # the candidates come with the rows
-                of = {s: c for s, c in zip(sources, batch.column("candidates").to_pylist()) if c}
-                own = _Index([(s, r["grp"], r["text"], r["key"]) for s, c in of.items() for r in c])
-            else:
-                own = index.value
-            for part in codes.chunks(texts):
-                d, s, n, h = own.match(ids[part], sources[part], texts[part], min_letters)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.string()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], ["doc_id", "source", "line_no", "grp"])
+def _find(min_letters: int):
+    def run(index, batch):
+        ids, sources, texts = (batch.column(c).to_pylist() for c in ("doc_id", "source", "text"))
+        for part in codes.chunks(texts):
+            d, s, n, h = index.match(ids[part], sources[part], texts[part], min_letters)
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.string()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], ["doc_id", "source", "line_no", "grp"])
 
     return run
 
 
-def _matches(docs: DataFrame, candidates: DataFrame, min_letters: int, most: int) -> DataFrame:
-    rows = docs.where("source is not null and text is not null").select("doc_id", "source", "text")
-    small = bounded_rows(candidates, most)
-    if small is not None:
-        index = docs.sparkSession.sparkContext.broadcast(_Index(group_candidates([tuple(r) for r in small])))
-        return spread(rows).mapInArrow(_find(index, min_letters), FOUND)
+CANDIDATE = "source string, grp long, text string, key long"
+FLUSH_DOCS, FLUSH_LINES = 2_000, 20_000
+
+
+def by_source(rows: DataFrame, candidates: DataFrame, run, schema: str) -> DataFrame:
+    """run(index, batch) over rows (source, ...), with the index of the CANDIDATE rows of the sources in the batch.
+
+    For more candidates than are broadcast: rows and candidates are brought together by source, the candidates of a
+    source before its rows, and gone through as a stream.  A source with more rows than a task's share is spread over
+    as many tasks as there are, each with the source's candidates, whose number a source's share of lines bounds.
+    """
+    spark = rows.sparkSession
+    tasks = max(2, spark.sparkContext.defaultParallelism)
+    sizes = rows.groupBy("source").agg(F.count("*").alias("_n"))
+    hot = [r[0] for r in sizes.where(F.col("_n") * tasks > (sizes.agg(F.sum("_n")).first()[0] or 0)).select("source").collect()]  # fewer than tasks
+    is_hot = F.col("source").isin(hot) if hot else F.lit(False)
+    columns = rows.columns
+    row = F.struct(*columns)
+    kind = F.struct(*(F.col(c) for c in ("grp", "text", "key")))
+    left = candidates.select("source", F.when(is_hot, F.sequence(F.lit(0), F.lit(tasks - 1))).otherwise(F.array(F.lit(0))).alias("_salts"), kind.alias("_line")).select("source", F.explode("_salts").alias("_salt"), F.lit(0).alias("_kind"), "_line", F.lit(None).cast(rows.select(row.alias("r")).schema["r"].dataType).alias("_row"))
+    right = rows.select("source", F.when(is_hot, F.pmod(F.xxhash64(*columns), F.lit(tasks)).cast("int")).otherwise(F.lit(0)).alias("_salt"), F.lit(1).alias("_kind"), F.lit(None).cast(candidates.select(kind.alias("k")).schema["k"].dataType).alias("_line"), row.alias("_row"))
+    both = left.unionByName(right).repartition("source", "_salt").sortWithinPartitions("source", "_salt", "_kind")
+
+    def stream(batches):
+        lines: dict[str, list] = {}
+        docs: list[pa.RecordBatch] = []
+        last = None
+
+        def flush():
+            table = pa.Table.from_batches(docs).combine_chunks().to_batches()
+            index = _Index([(s, *x) for s, own in lines.items() for x in own])
+            for batch in table:
+                yield from run(index, batch)
 
-    def grouped(pdf):
+        for batch in batches:
+            kinds = batch.column("_kind").to_numpy()
+            sources = batch.column("source").to_pylist()
+            edges = [0, *(np.flatnonzero(np.diff(kinds) != 0) + 1).tolist(), len(kinds)]
+            for a, b in zip(edges, edges[1:]):
+                if kinds[a] == 0:
+                    if sum(x.num_rows for x in docs) > FLUSH_DOCS or sum(map(len, lines.values())) > FLUSH_LINES:
+                        if docs:
+                            yield from flush()
+                        docs, lines = [], {k: v for k, v in lines.items() if k == last}
+                    for k, x in zip(sources[a:b], batch.column("_line").slice(a, b - a).to_pylist()):
+                        if k != last and k not in lines:
+                            lines[k] = []
+                        last = k
+                        lines[k].append((x["grp"], x["text"], x["key"]))
+                else:
+                    part = batch.column("_row").slice(a, b - a)
+                    docs.append(pa.RecordBatch.from_arrays(part.flatten(), names=columns))
+                    last = sources[b - 1]
+                    if sum(x.num_rows for x in docs) > FLUSH_DOCS:
+                        yield from flush()
+                        docs, lines = [], {k: v for k, v in lines.items() if k == last}
+        if docs:
+            yield from flush()
+
+    return both.select("source", "_kind", "_line", "_row").mapInArrow(stream, schema)
+
+
+def with_index(rows: DataFrame, candidates: DataFrame | list, run, schema: str, most: int = 100_000) -> DataFrame:
+    """run(index, batch) over rows, with CANDIDATE rows broadcast where there are at most ``most``, else by source."""
+    small = candidates if isinstance(candidates, list) else bounded_rows(candidates, most)
+    if small is None:
+        return by_source(rows, candidates, run, schema)
+    shared = rows.sparkSession.sparkContext.broadcast(_Index([tuple(r) for r in small]))
+    return spread(rows).mapInArrow(lambda batches: (x for batch in batches for x in run(shared.value, batch)), schema)
+
+
+def grouped(candidates: DataFrame) -> DataFrame:
+    """CANDIDATE rows of (source, key, line, n); the candidates of a source are few, for each takes a share of its documents."""
+
+    def run(key, pdf):
         import pandas as pd
 
         return pd.DataFrame(group_candidates(list(pdf[["source", "key", "line", "n"]].itertuples(index=False, name=None))), columns=["source", "grp", "text", "key"])
 
-    per_source = candidates.groupBy("source").applyInPandas(grouped, "source string, grp long, text string, key long").groupBy("source").agg(F.collect_list(F.struct("grp", "text", "key")).alias("candidates"))
-    salts = 16  # a third of the rows may be of one source
-    salted = per_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, ["source", "salt"])
-    return joined.select("doc_id", "source", "text", "candidates").mapInArrow(_find(None, min_letters), FOUND)
+    return candidates.groupBy("source").applyInPandas(run, CANDIDATE)
 
 
-def repeated_lines(docs: DataFrame, share: float = 0.08, min_docs: int = 4, min_letters: int = MIN_LETTERS, candidate_share: float = 0.02, most_broadcast: int = 100_000) -> DataFrame:
-    """(doc_id, source, line_no, grp): lines that, with their variants, stand in share of the source's documents and in min_docs."""
+def _confirmed(docs: DataFrame, share: float, min_docs: int, min_letters: int, candidate_share: float, most: int) -> tuple[DataFrame, DataFrame, DataFrame | list]:
+    """Lines near a candidate (FOUND), the (source, grp) that are confirmed, and the candidates, as rows where they are few."""
     total = docs.where("source is not null").groupBy("source").agg(F.count_distinct("doc_id").alias("docs"))
-    found = _matches(docs, line_candidates(docs, min_letters, candidate_share), min_letters, most_broadcast).persist()
+    every = grouped(line_candidates(docs, min_letters, candidate_share))
+    small = bounded_rows(every, most)
+    candidates = every if small is None else small
+    rows = docs.where("source is not null and text is not null").select("doc_id", "source", "text")
+    found = with_index(rows, candidates, _find(min_letters), FOUND).persist()
     in_docs = found.groupBy("source", "grp").agg(F.count_distinct("doc_id").alias("n"))
     confirmed = in_docs.join(total, "source").where((F.col("n") >= min_docs) & (F.col("n") >= F.col("docs") * share)).select("source", "grp")
+    return found, confirmed, candidates
+
+
+def repeated_lines(docs: DataFrame, share: float = 0.08, min_docs: int = 4, min_letters: int = MIN_LETTERS, candidate_share: float = 0.02, most_broadcast: int = 100_000) -> DataFrame:
+    """(doc_id, source, line_no, grp): lines that, with their variants, stand in share of the source's documents and in min_docs."""
+    found, confirmed, _ = _confirmed(docs, share, min_docs, min_letters, candidate_share, most_broadcast)
     return found.join(confirmed, ["source", "grp"]).select("doc_id", "source", "line_no", "grp").dropDuplicates(["doc_id", "line_no"])
 
 
+def without_repeated_lines(docs: DataFrame, share: float = 0.08, min_docs: int = 4, min_letters: int = MIN_LETTERS, candidate_share: float = 0.02, most_broadcast: int = 100_000) -> DataFrame:
+    """docs with the repeated lines of their sources cut out of text; other columns, rows and NULLs stay as they are.
+
+    The confirmed lines of all sources are broadcast and cut in one pass; texts are not shuffled.
+    """
+    found, confirmed, candidates = _confirmed(docs, share, min_docs, min_letters, candidate_share, most_broadcast)
+    if isinstance(candidates, list):
+        sure = {(r[0], r[1]) for r in confirmed.collect()}  # no more than there are candidates
+        kept: DataFrame | list = [r for r in candidates if (r[0], r[1]) in sure]
+        found.unpersist()
+    else:
+        kept = candidates.join(confirmed, ["source", "grp"]).select("source", "grp", "text", "key")
+    at = docs.columns.index("text")
+
+    def run(index, batch):
+        sources, texts = batch.column("source").to_pylist(), batch.column("text").to_pylist()
+        out = list(texts)
+        for part in codes.chunks(texts):
+            numbers = list(range(part.start, part.stop))
+            cut = defaultdict(set)
+            for k, _, line, _ in zip(*index.match(numbers, sources[part], texts[part], min_letters)):
+                cut[k].add(int(line))
+            for k, lines in cut.items():
+                out[k] = "\n".join(x for n, x in enumerate(texts[k].split("\n")) if n not in lines)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
+
+    return with_index(docs, kept, run, docs.schema)
+
+
 def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """docs with the given (doc_id, line_no) lines cut out of text; other columns, rows and NULLs stay as they are."""
     key, cuts = fresh(docs, "_cut_doc"), fresh(docs, "_cut")

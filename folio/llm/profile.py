@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import codes
-from .lines import MIN_LETTERS, SUMMARY, LineKeys, _Index, _Summary, _summary_rows, key_text
+from .lines import CANDIDATE, MIN_LETTERS, SUMMARY, LineKeys, _Index, _Summary, _summary_rows, by_source, key_text
 from .util import bounded_rows, spread
 
 COMMON_WORDS = 100
+SOURCES = 20_000
 
 
 def script_of(word: str) -> str:
@@ -46,11 +47,15 @@ def label_language(label: str | None, names: dict[str, str]) -> str | None:
 
 @dataclass
 class Profile:
-    """common: per language the hashes of its most frequent words, most frequent first; notices: matcher of notice lines."""
+    """common: per language the hashes of its most frequent words, most frequent first; notices: matcher of notice lines.
+
+    many: the notice lines, where they are too many to be sent to every worker.
+    """
 
     common: dict[str, np.ndarray] = field(default_factory=dict)
     words: dict[str, list[str]] = field(default_factory=dict)
     notices: _Index | None = None
+    many: DataFrame | None = None
 
     def tables(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, sorted hashes of all common words, and which language has which."""
@@ -79,7 +84,21 @@ class Profile:
         return out
 
 
-def _scan(names: dict[str, str], with_lines: bool, drop_share: float, min_letters: int):
+def with_notices(rows: DataFrame, profile: Profile, run, schema: str) -> DataFrame:
+    """run(profile, batch) over rows (source, ...): the notices are broadcast, or meet the rows by source where they are many."""
+    if profile.many is None:
+        shared = rows.sparkSession.sparkContext.broadcast(profile)  # a hundred words a language, a bounded number of notices
+        return spread(rows).mapInArrow(lambda batches: (x for batch in batches for x in run(shared.value, batch)), schema)
+    common, words = profile.common, profile.words
+    return by_source(rows, profile.many, lambda index, batch: run(Profile(common, words, index), batch), schema)
+
+
+def _scan(names: dict[str, str], with_words: bool, drop_share: float, min_letters: int):
+    def rows_of(words, lines):
+        for kind, by, share in (("w", words, 0.0), ("l", lines, drop_share)):
+            rows = _summary_rows(by, share)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * rows.num_rows, pa.string()), *rows.columns], ["kind", "source", "key", "line", "n", "error"])
+
     def run(batches):
         words: dict[str, _Summary] = defaultdict(_Summary)
         lines: dict[str, _Summary] = defaultdict(_Summary)
@@ -88,11 +107,12 @@ def _scan(names: dict[str, str], with_lines: bool, drop_share: float, min_letter
             langs = [label_language(x, names) or "" for x in labels]
             for part in codes.chunks(texts):
                 keys = LineKeys(texts[part])
-                own = np.array(langs[part], object)
+                own = np.array(langs[part] if with_words else [], object)
                 tags, ids = np.unique(own, return_inverse=True)
-                start, end = codes.units(keys.codes)
-                word = keys.codes.hashes(start, end)
-                lang = ids[np.searchsorted(keys.codes.end, start)]
+                if with_words:
+                    start, end = codes.units(keys.codes)
+                    word = keys.codes.hashes(start, end)
+                    lang = ids[np.searchsorted(keys.codes.end, start)]
                 for g, tag in enumerate(tags):
                     if tag:
                         words[tag].docs += int((ids == g).sum())
@@ -103,32 +123,32 @@ def _scan(names: dict[str, str], with_lines: bool, drop_share: float, min_letter
                         at = mine[first[often]]
                         text = np.array([keys.codes.joined[s:e].lower() for s, e in zip(start[at].tolist(), end[at].tolist())] + [None], object)[:-1]
                         words[tag].add(k[often], text, n[often])
-                if with_lines:
-                    names_of, sid = np.unique(np.array([s or "" for s in sources[part]], object), return_inverse=True)
-                    for name, n in zip(names_of, np.bincount(sid)):
-                        lines[name].docs += int(n)
-                    pick = keys.once_a_document(np.flatnonzero(keys.letters >= min_letters))
-                    raw = np.array(keys.codes.joined.split("\n")[:-1] + [None], object)[:-1]
-                    group = sid[keys.doc[pick]]
-                    order = np.argsort(group, kind="stable")
-                    edge = np.searchsorted(group[order], np.arange(len(names_of) + 1))
-                    for g, name in enumerate(names_of):
-                        mine = pick[order[edge[g] : edge[g + 1]]]
-                        lines[name].add(keys.key[mine], raw[mine])
-        for kind, by, share in (("w", words, 0.0), ("l", lines, drop_share)):
-            rows = _summary_rows(by, share)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * rows.num_rows, pa.string()), *rows.columns], ["kind", "source", "key", "line", "n", "error"])
+                names_of, sid = np.unique(np.array([s or "" for s in sources[part]], object), return_inverse=True)
+                for name, n in zip(names_of, np.bincount(sid)):
+                    lines[name].docs += int(n)
+                pick = keys.once_a_document(np.flatnonzero(keys.letters >= min_letters))
+                raw = np.array(keys.codes.joined.split("\n")[:-1] + [None], object)[:-1]
+                group = sid[keys.doc[pick]]
+                order = np.argsort(group, kind="stable")
+                edge = np.searchsorted(group[order], np.arange(len(names_of) + 1))
+                for g, name in enumerate(names_of):
+                    mine = pick[order[edge[g] : edge[g + 1]]]
+                    lines[name].add(keys.key[mine], raw[mine])
+            if len(lines) > SOURCES:  # a task with very many sources hands its summaries on
+                yield from rows_of({}, lines)
+                lines.clear()
+        yield from rows_of(words, lines)
 
     return run
 
 
-def corpus_profile(docs: DataFrame, languages: DataFrame, with_lines: bool = True, notice_share: float = 0.03, common_words: int = COMMON_WORDS, most: int = 100_000) -> Profile:
+def corpus_profile(docs: DataFrame, languages: DataFrame, with_words: bool = True, notice_share: float = 0.03, common_words: int = COMMON_WORDS, most: int = 100_000) -> Profile:
     """The profile of all rows of docs (text, lang, source); labels are read by the rows of languages, a small fixed table."""
-    known = languages.select("lang", "iso3", "lang_name", "script").limit(1000).collect()
+    known = languages.select("lang", "iso3", "lang_name", "script").collect()
     names = label_names(known)
     script = {r["lang"]: {"Hans": "Hani", "Hant": "Hani", "Jpan": "Hani"}.get(r["script"], r["script"]) for r in known}
     rows = spread(docs.where("text is not null").select("text", "lang", "source"))
-    parts = rows.mapInArrow(_scan(names, with_lines, notice_share / 4, MIN_LETTERS), f"kind string, {SUMMARY}").persist()
+    parts = rows.mapInArrow(_scan(names, with_words, notice_share / 4, MIN_LETTERS), f"kind string, {SUMMARY}").persist()
     size = parts.where("key is null").groupBy("kind", "source").agg(F.sum("n").alias("docs"), F.sum("error").alias("error"))
     merged = parts.where("key is not null").groupBy("kind", "source", "key").agg(F.sum("n").alias("n"), F.max("line").alias("line"))
     out = Profile()
@@ -152,13 +172,18 @@ def corpus_profile(docs: DataFrame, languages: DataFrame, with_lines: bool = Tru
         if len(keep) < 5 or any(np.isin(own, out.common[x]).mean() > 0.4 for x in larger):
             continue
         out.common[lang], out.words[lang] = own, [w for _, w in keep]
-    if with_lines:
-        least = F.greatest(F.lit(4), F.col("docs") * notice_share)
-        found = merged.where("kind = 'l'").join(size, ["kind", "source"]).where(F.col("n") + F.col("error") >= least).select("source", "key", "line", "n")
-        heavy = bounded_rows(found, most)
-        if heavy is None:
-            raise ValueError(f"over {most} notice lines; call with the documents of fewer sources at a time")
+    least = F.greatest(F.lit(4), F.col("docs") * notice_share)
+    found = merged.where("kind = 'l'").join(size, ["kind", "source"]).where(F.col("n") + F.col("error") >= least).select("source", "key", "line", "n")
+    heavy = bounded_rows(found, most)
+    if heavy is None:
+
+        def lines_of(batches):
+            for batch in batches:
+                keys = batch.column("key")
+                yield pa.RecordBatch.from_arrays([batch.column("source"), keys, pa.array([key_text(x) for x in batch.column("line").to_pylist()], pa.string()), keys], ["source", "grp", "text", "key"])
+
+        out.many = found.mapInArrow(lines_of, CANDIDATE)
+    else:
         out.notices = _Index([(r[0], r[1], key_text(r[2]), r[1]) for r in heavy])
-    parts.unpersist()
+        parts.unpersist()
     return out
-

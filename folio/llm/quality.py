@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from . import codes
 from .lines import LineKeys
-from .profile import Profile, corpus_profile, label_language, label_names
-from .util import spread
+from .profile import Profile, corpus_profile, label_language, label_names, with_notices
 
 STATS = ("words", "word_length", "symbols", "digits", "line_ends", "common", "fresh_lines", "capitals", "line_words", "bullets", "confidence")
 P = len(STATS)
@@ -97,17 +96,15 @@ def text_stats(texts: list, sources: list, labels: list, confidence: list, profi
 def document_stats(docs: DataFrame, languages: DataFrame, profile: Profile | None = None) -> DataFrame:
     """(doc_id, language, STATS...) of every row."""
     profile = profile or corpus_profile(docs, languages)
-    names = label_names(languages.select("lang", "iso3", "lang_name").limit(1000).collect())
-    shared = docs.sparkSession.sparkContext.broadcast(profile)  # a hundred words a language, a bounded number of notices
+    names = label_names(languages.select("lang", "iso3", "lang_name").collect())  # a small fixed table
 
-    def run(batches):
-        for batch in batches:
-            ids, texts, sources, labels, conf = (batch.column(c).to_pylist() for c in ("doc_id", "text", "source", "lang", "confidence"))
-            for part in codes.chunks(texts):
-                lang, x = text_stats(texts[part], sources[part], labels[part], conf[part], shared.value, names)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part], pa.int64()), pa.array(lang, pa.string()), *(pa.array(x[:, k], from_pandas=True) for k in range(P))], ["doc_id", "language", *STATS])
+    def run(profile, batch):
+        ids, texts, sources, labels, conf = (batch.column(c).to_pylist() for c in ("doc_id", "text", "source", "lang", "confidence"))
+        for part in codes.chunks(texts):
+            lang, x = text_stats(texts[part], sources[part], labels[part], conf[part], profile, names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part], pa.int64()), pa.array(lang, pa.string()), *(pa.array(x[:, k], from_pandas=True) for k in range(P))], ["doc_id", "language", *STATS])
 
-    return spread(docs.select("doc_id", "text", "source", "lang", "confidence")).mapInArrow(run, SCHEMA)
+    return with_notices(docs.select("doc_id", "text", "source", "lang", "confidence"), profile, run, SCHEMA)
 
 
 def _sums(stats: DataFrame, centre: dict, scale: float | dict) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:

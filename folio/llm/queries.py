@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .languages import document_languages, language_segments, unnamed_languages
 from .leaks import leaked, without_leaks
-from .lines import repeated_lines, without_lines
+from .lines import repeated_lines, without_repeated_lines
 from .packing import pack_texts
 from .pages import page_noise, page_paragraphs
 from .pieces import split_texts
@@ -21,8 +21,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return without_lines(docs, repeated_lines(docs)).select("doc_id", "text")
+    return without_repeated_lines(table(spark, d, "documents")).select("doc_id", "text")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

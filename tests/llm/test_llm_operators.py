@@ -150,6 +150,49 @@ def test_phrases_are_the_fewest():
         assert auto.phrases(w) == slow(w), w
 
 
+def test_phrases_side_by_side():
+    """The tables of moves count the phrases that each automaton counts, over word ends and parts of LANE characters."""
+    rng = random.Random(61)
+    own = {"en": "the cat sat on the mat and sang to the moon", "fr": "le chat est sur la table et chante sous la lune"}
+    parser = languages.Parser(own, {})
+    auto = {k: languages.SuffixAutomaton(f" {v} ") for k, v in own.items()}
+    words = " ".join(own.values()).split() + ["zzq", "mon"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(200)] + ["x", ""]
+    c = codes.Codes(texts)
+    chars, phrases = parser.parse(c, np.ones(len(c.cp), bool), np.searchsorted(c.end, np.arange(len(c.cp))), len(texts))
+    for k, t in enumerate(texts):
+        if t:
+            assert chars[k] == len(t) + 1 and phrases[k].tolist() == [auto[x].phrases(t + " ") for x in parser.langs]
+    best, sure = parser.decide(chars, phrases)
+    assert best[-1] == -1 and ((0 <= sure) & (sure <= 1)).all()
+    assert all(b < 0 or phrases[k, b] == phrases[k].min() for k, b in enumerate(best))
+
+
+def test_labels_without_texts(spark, langs):
+    """A label whose texts are all in other languages teaches nothing, however many rows have it; copies count once."""
+    rng = random.Random(62)
+    rows = [(k, prose(rng, 10), "en", "s", 1.0) for k in range(20)] + [(100 + k, german(rng, 10), "de", "s", 1.0) for k in range(20)]
+    rows += [(200 + k, prose(rng, 10), "sv", "t", 1.0) for k in range(40)] + [(300 + k, german(rng, 10), "da", "t", 1.0) for k in range(10)]
+    copy = prose(rng, 10)
+    rows += [(1000 + k, copy, ("de", "fr", "it")[k % 3], f"u{k}", 1.0) for k in range(150)]
+    seg = languages.language_segments(documents(spark, rows), langs)
+    want = {(r[0], "de" if 100 <= r[0] < 200 or 300 <= r[0] < 400 else "en") for r in rows}
+    assert {(r.doc_id, r.lang) for r in seg.select("doc_id", "lang").collect()} == want
+
+
+def test_many_candidates_by_source(spark, langs):
+    """More candidate lines than are broadcast: rows and lines meet by source, with the same result."""
+    rng = random.Random(63)
+    rows = [(k, f"{prose(rng, 3)}\nThis copy belongs to the reading room number {k % 7} of the old mill\n{german(rng, 3)}", "en", None if k % 11 == 0 else f"s{0 if k % 3 else k % 7}", 1.0) for k in range(300)]
+    df = documents(spark, rows)
+    key = lambda d: sorted((r.doc_id, r.line_no, r.grp) for r in d.collect())
+    assert key(lines.repeated_lines(df)) == key(lines.repeated_lines(df, most_broadcast=1)) != []
+    text = lambda d: sorted((r.doc_id, r.text) for r in d.collect())
+    assert text(lines.without_repeated_lines(df)) == text(lines.without_repeated_lines(df, most_broadcast=1)) == text(lines.without_lines(df, lines.repeated_lines(df)))
+    seg = lambda m: sorted(map(tuple, languages.language_segments(df.where("source is not null"), langs, most_broadcast=m).collect()))
+    assert seg(1) == seg(100_000) != []
+
+
 GERMAN = "der alte müller fand die graue karte im dorf während seine frau das brot ohne hilfe nach hause trug und niemand wusste warum es so spät war".split()
 
 
