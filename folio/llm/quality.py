@@ -6,8 +6,8 @@ chi-square limit give the next mean and covariance, which are sums over the whol
 Mahalanobis distance d' S^-1 d splits into one term per statistic, d_j (S^-1 d)_j, its contribution.
 
 Defined results: NULL and empty texts, and texts of nothing but notices, have NULL statistics and distance and
-are no cases; a NULL confidence counts as its language's centre; a language with few documents uses the centre
-of all languages; equal rows give equal rows; other columns are ignored.
+are no cases; a NULL confidence counts as its language's centre; the centre and
+covariance of a language lean on those of all languages, as PRIOR_DOCS texts would; equal rows give equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from .profile import Profile, corpus_profile, label_language, label_names, with_
 
 STATS = ("words", "word_length", "symbols", "digits", "line_ends", "common", "fresh_lines", "capitals", "line_words", "bullets", "confidence")
 P = len(STATS)
-#: Wilson-Hilferty chi-square quantiles of P degrees of freedom at 0.5 and 0.975.
-_MEDIAN = P * (1 - 2 / (9 * P)) ** 3
+#: Wilson-Hilferty chi-square quantiles of P degrees of freedom: within the first a text takes part in the next centre, above the second it is an outlier.
 _LIMIT = P * (1 - 2 / (9 * P) + 1.96 * (2 / (9 * P)) ** 0.5) ** 3
-LEAST_DOCS = 200
+_OUTLIER = P * (1 - 2 / (9 * P) + 2.326 * (2 / (9 * P)) ** 0.5) ** 3
+#: Texts that the centre and covariance of all languages count for beside a language's own.
+PRIOR_DOCS = 60
 SCHEMA = "doc_id long, language string, " + ", ".join(f"{s} double" for s in STATS)
 
 
@@ -107,7 +108,7 @@ def document_stats(docs: DataFrame, languages: DataFrame, profile: Profile | Non
     return with_notices(docs.select("doc_id", "text", "source", "lang", "confidence"), profile, run, SCHEMA)
 
 
-def _sums(stats: DataFrame, centre: dict, scale: float | dict) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+def _sums(stats: DataFrame, centre: dict) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
     """Per language and for all ("") number, mean and covariance of the rows within the limit of centre."""
 
     def run(batches):
@@ -119,7 +120,7 @@ def _sums(stats: DataFrame, centre: dict, scale: float | dict) -> dict[str, tupl
                 mean, inverse = centre.get(lang, centre[""])
                 own = np.where(np.isnan(own), mean, own)
                 d = own - mean
-                own = d[np.einsum("ij,jk,ik->i", d, inverse, d) <= _LIMIT * (scale.get(lang, scale[""]) if isinstance(scale, dict) else scale)] + mean
+                own = d[np.einsum("ij,jk,ik->i", d, inverse, d) <= _LIMIT] + mean
                 v = np.concatenate(([len(own)], own.sum(0), (own.T @ own).ravel()))
                 for name in (lang, ""):
                     total[name] = total.get(name, 0) + v
@@ -133,7 +134,7 @@ def _sums(stats: DataFrame, centre: dict, scale: float | dict) -> dict[str, tupl
         out.setdefault(r["language"], np.zeros(1 + P + P * P))[r["i"]] = r["v"]
     result = {}
     for lang, v in out.items():
-        if v[0] > P:
+        if v[0] > 0:
             mean = v[1 : P + 1] / v[0]
             result[lang] = (v[0], mean, v[P + 1 :].reshape(P, P) / v[0] - np.outer(mean, mean))
     return result
@@ -152,7 +153,10 @@ def prose_model(stats: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray,
     known = stats.where("language is not null and words is not null")
     medians = lambda g: g.agg(*(F.percentile_approx(s, 0.5, 1000).alias(s) for s in STATS), F.count("*").alias("_n")).collect()
     of_all = np.array([v if v is not None else 1.0 for v in medians(known.groupBy())[0][:P]], float) if known.head(1) else np.zeros(P)
-    centre = {r["language"]: np.array([of_all[k] if r[s] is None else r[s] for k, s in enumerate(STATS)], float) for r in medians(known.groupBy("language")) if r["_n"] >= LEAST_DOCS} | {"": of_all}
+    centre = {"": of_all}
+    for r in medians(known.groupBy("language")):  # a row a language of a small table
+        w = r["_n"] / (r["_n"] + PRIOR_DOCS)
+        centre[r["language"]] = w * np.array([of_all[k] if r[s] is None else r[s] for k, s in enumerate(STATS)], float) + (1 - w) * of_all
     lookup = F.create_map(*(x for k, v in centre.items() for x in (F.lit(k), F.array(*map(F.lit, v.tolist())))))
     mid = F.coalesce(lookup[F.col("language")], lookup[F.lit("")])
     spreads = known.groupBy("language").agg(*(F.percentile_approx(F.abs(F.col(s) - mid[k]), 0.5, 1000).alias(s) for k, s in enumerate(STATS))).collect()
@@ -160,8 +164,13 @@ def prose_model(stats: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray,
     every = np.median(list(mad.values()), 0) if mad else np.ones(P)
     model = {k: (v, _inverse(np.diag(mad.get(k, every) ** 2))) for k, v in centre.items()}
     for _ in range(steps):
-        sums = _sums(stats, model, 1.0)
-        model = {k: (sums[k][1], _inverse(sums[k][2])) for k in sums if k == "" or sums[k][0] >= LEAST_DOCS / 2} | ({} if "" in sums else {"": model[""]})
+        sums = _sums(stats, model)
+        if "" not in sums:
+            break
+        _, mean, cov = sums[""]
+        for k, (n, m, v) in sums.items():
+            w = 1.0 if k == "" else n / (n + PRIOR_DOCS)
+            model[k] = (w * m + (1 - w) * mean, _inverse(w * v + (1 - w) * cov))
     return model
 
 
@@ -186,7 +195,7 @@ def outlierness(stats: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]
     return stats.select("doc_id", "language", *STATS).mapInArrow(run, f"{SCHEMA}, {more}")
 
 
-def unnatural_texts(scored: DataFrame, least: float = 25.0) -> DataFrame:
+def unnatural_texts(scored: DataFrame, least: float = _OUTLIER) -> DataFrame:
     """(doc_id, kind): outliers whose deviations are those of tables, of lists or of unreadable text.
 
     A table's figures in lines of hardly a word, a list's unfinished lines and junk's lack of common words must

@@ -9,7 +9,7 @@ from .languages import document_languages, language_segments, unnamed_languages
 from .leaks import leaked, without_leaks
 from .lines import repeated_lines, without_repeated_lines
 from .packing import pack_texts
-from .pages import page_noise, page_paragraphs
+from .pages import document_paragraphs, item_paragraphs, page_noise, page_paragraphs
 from .pieces import split_texts
 from .quality import quality, unnatural_texts
 from .sentences import sentence_model, sentence_units
@@ -29,7 +29,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_repairs(spark: SparkSession, d: str) -> DataFrame:
-    """Misread words with the words they stand for."""
+    """Misread words and figures with what they stand for."""
     return page_noise(table(spark, d, "ocr_words"), table(spark, d, "items"))[1]
 
 
@@ -38,6 +38,16 @@ def p2_text(spark: SparkSession, d: str) -> DataFrame:
     return page_paragraphs(table(spark, d, "ocr_words"), table(spark, d, "items"))
 
 
+def p2_items(spark: SparkSession, d: str) -> DataFrame:
+    """Readable paragraphs of each item, over the ends of pages."""
+    return item_paragraphs(table(spark, d, "ocr_words"), table(spark, d, "items"))
+
+
+def p2_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The exported texts as readable paragraphs."""
+    return document_paragraphs(table(spark, d, "documents"), table(spark, d, "items"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return unnamed_languages(language_segments(table(spark, d, "documents"), table(spark, d, "languages")))
 
@@ -73,7 +83,7 @@ def p5_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _limits(spark: SparkSession, d: str, purpose: str) -> list[tuple[int, int]]:
-    rows = table(spark, d, "size_limits").where(F.col("purpose") == purpose).select("capacity", "overlap").distinct().limit(100).collect()
+    rows = table(spark, d, "size_limits").where(F.col("purpose") == purpose).select("capacity", "overlap").distinct().collect()  # a small fixed table
     return sorted((r[0], r[1] or 0) for r in rows if r[0])
 
 
@@ -111,5 +121,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_repairs, p2_text, p3_found, p3_segments, p3_documents, p4_found, p4_stats, p5_found, p5_units, p6_packing, p6_fill, p7_found, p7_clean, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_repairs, p2_text, p2_items, p2_documents, p3_found, p3_segments, p3_documents, p4_found, p4_stats, p5_found, p5_units, p6_packing, p6_fill, p7_found, p7_clean, p8_found, p8_pieces)}
 ORACLES: dict[str, str] = {}

@@ -7,8 +7,12 @@ letter or an inner mark never follows one.  A word before a full stop that ends
 words do ends sentences; an abbreviation does not.  What words follow an empty line tells how sentences begin.
 
 Slots are the places where the writing allows a boundary: after marks and their closing quotes, at spaces and
-line ends of Thai, at empty lines, and between all words of a text that has no marks at all.  Slots fewer than
-three words apart depend on each other; forward and backward sums over both states of each give the posterior.
+line ends of Thai, at empty lines, and between all words (in scripts without spaces, characters) of texts without
+marks and of stretches of over STRETCH words without one.  Between words the odds are those of a bigram model with
+the boundary token: P(end | word) P(next | beginning) / P(next | word), where P(end | word) starts from the length of
+sentences and from how likely it is that the writer left marks out, which grows with the words that have none.  Slots
+fewer than three words apart depend on each other; forward and backward sums over both states of each give the
+posterior.
 
 Defined results: NULL and blank texts have no sentence; a text's end always is one; equal rows give equal
 sentences; other columns are ignored.  Positions are numbers of code points from the start of the text.
@@ -23,15 +27,18 @@ from pyspark.sql import functions as F
 
 from . import codes
 from .codes import Codes, among, counts_before, range_hash, runs
+from .pages import pair_hash
 from .util import most_frequent, spread
 
 #: Marks that may end a sentence, those written without a space after them, quotes and brackets.
-FINAL = ".!?…。！？।؟۔"
+FINAL = ".!?…。！？।॥؟۔។៕။።։"
 WIDE = "。！？"
 CLOSE = "\"'”’»)]」』）›“‘"
 OPEN = "\"'“‘«„»「『([（—–-¿¡‹‚"
 #: Most words kept in each table of the model; the rest count as their shape.
 VOCABULARY = 300_000
+#: Words without a mark that get slots between them, words of a sentence, and how many texts with marks stand for one without.
+STRETCH, LENGTH, MARKED = 40, 15.0, 50.0
 DOT, MARK, WIDE_MARK, THAI_SPACE, THAI_SIGN, THAI_LINE, HARD, GAP = range(8)
 
 
@@ -50,6 +57,8 @@ class Slots:
         wordy = c.is_kind(codes.LOWER, codes.UPPER, codes.CASELESS, codes.MARK, codes.DIGIT)
         self.visible = visible
         final = c.within(FINAL)
+        greek = ((c.cp >= 0x370) & (c.cp < 0x400)) | ((c.cp >= 0x1F00) & (c.cp < 0x2000))
+        final[1:] |= c.within(";\u037e")[1:] & greek[:-1]  # the question mark of Greek
         rs, re = runs(final)
         # closing marks right after, or one French quote after a space
         closer = c.within(CLOSE)
@@ -92,13 +101,21 @@ class Slots:
         doc = np.searchsorted(c.end, hard)
         ok &= hard_end > c.start[doc]
         hard_end = np.unique(hard_end[ok])
-        # texts without any mark: every gap between words
-        marks = counts_before(final | thai)
-        bare = (marks[c.end] == marks[c.start]) & (c.end - c.start > 200)
-        gaps = np.zeros(0, int)
-        if bare.any():
-            ws, we = runs(wordy)
-            gaps = we[bare[np.searchsorted(c.end, ws)]]
+        # between the words of stretches without marks
+        us, ue = self._units(c, wordy)
+        gaps, self.omitted = np.zeros(0, int), np.zeros(0)
+        if len(us):
+            stops = np.unique(np.concatenate((hard_end, end, gs[tk != THAI_LINE])))
+            stretch = np.searchsorted(stops, ue, "left")
+            size = np.where(codes.unspaced(c.cp[us]), 0.5, 1.0)
+            words = np.bincount(stretch, size)[stretch]
+            of = np.searchsorted(c.end, us)
+            marks = counts_before(final | thai)
+            bare = (marks[c.end] == marks[c.start])[of]
+            words = np.where(bare, np.bincount(of, size)[of], words)
+            pick = (bare | (words > STRETCH)) & ~thai[us]
+            gaps = ue[pick]
+            self.omitted = np.log(1 / (1 + MARKED * np.exp(-words[pick] / LENGTH))) - np.log(LENGTH)
         self.end = np.concatenate((hard_end, end, gs, gaps))
         self.kind = np.concatenate((np.full(len(hard_end), HARD), kind, tk, np.full(len(gaps), GAP)))
         mark_at = np.concatenate((hard_end, rs, gs, gaps))
@@ -110,6 +127,7 @@ class Slots:
         # where a hard end has a mark too, the mark's word is of use
         marked = dict(zip(end.tolist(), range(len(end))))
         self.end, self.kind, mark_at, self.is_hard = self.end[order], self.kind[order], mark_at[order], self.is_hard[order]
+        self.mark_at = mark_at
         for i in np.flatnonzero(self.is_hard).tolist():
             j = marked.get(int(self.end[i]))
             if j is not None:
@@ -137,6 +155,35 @@ class Slots:
         none = nxt >= len(visible)
         self.next_kind = np.where(none, codes.OTHER, c.kind[begin]) if len(begin) else np.zeros(0, int)
         self.right = self.begin_hash(begin)
+        # what the bigrams of gaps are made of: the unit before, the one after, and a beginning as if it had a capital
+        at = np.flatnonzero(self.kind == GAP)
+        self.gap = at
+        if len(at):
+            k = np.minimum(np.searchsorted(ue, self.end[at]), len(us) - 1)
+            j = np.minimum(k + 1, len(us) - 1)
+            self.gap_left, self.gap_next = self.unit_hash(us[k], ue[k]), self.unit_hash(us[j], ue[j])
+            self.gap_prior = self.omitted[np.searchsorted(gaps, self.end[at])]
+            capitals = counts_before(c.kind == codes.UPPER)
+            small = capitals[c.end] == capitals[c.start]
+            with np.errstate(over="ignore"):
+                self.gap_begin = np.where(small[self.doc[at]] & (self.next_kind[at] == codes.LOWER), self.right[at] + np.uint64(1), self.right[at])
+
+    @staticmethod
+    def _units(c: Codes, wordy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """start and end of words; in scripts without spaces every character with its marks is one."""
+        tight = codes.unspaced(c.cp) & wordy
+        base = tight & (c.kind != codes.MARK)
+        before = np.concatenate(([False], wordy[:-1]))
+        was = np.concatenate(([False], tight[:-1]))
+        start = np.flatnonzero(wordy & (~before | base | (was & ~tight)))
+        stop = np.flatnonzero(~np.concatenate((wordy, [False])))
+        end = np.minimum(np.concatenate((start[1:], [len(wordy)])), stop[np.searchsorted(stop, start)])
+        return start, end
+
+    def unit_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of a word; of a character of a script without spaces together with the one before it."""
+        c = self.codes
+        return range_hash(c.low, np.where(codes.unspaced(c.cp[start]), np.maximum(end - 2, 0), start), end)
 
     def begin_hash(self, begin: np.ndarray) -> np.ndarray:
         """Hash of the word that begins there, with its shape; two characters in Han and kana, four in Thai."""
@@ -176,6 +223,20 @@ def _events(texts: list):
     which = np.repeat([0, 1, 2, 1, 3], [len(begins), len(inner), len(closed), len(thai), len(after_dot)])
     caseless = s.is_hard & (s.kind != HARD) & (s.next_kind == codes.CASELESS)
     yield 0, np.array([2], np.uint64), np.array([[0, 0, 0, caseless.sum()]], float)
+    # units before a boundary and all of them; pairs of neighbours
+    us, ue = s._units(c, c.is_kind(codes.LOWER, codes.UPPER, codes.CASELESS, codes.MARK, codes.DIGIT))
+    if len(us):
+        units = s.unit_hash(us, ue)
+        sure = s.is_hard | np.isin(s.kind, (MARK, WIDE_MARK)) & ~lower
+        at = np.searchsorted(ue, s.mark_at[sure], "right") - 1
+        ends = np.zeros(len(us))
+        ends[at[at >= 0]] = 1
+        keys, inverse = np.unique(units, return_inverse=True)
+        n = np.bincount(inverse)
+        yield 2, keys, np.stack([np.bincount(inverse, ends, len(keys)), n, np.zeros(len(keys)), np.zeros(len(keys))], 1)
+        near = (us[1:] - ue[:-1] <= 2) & (us[1:] >= ue[:-1]) & (ends[:-1] == 0)
+        keys, n = np.unique(pair_hash(units[:-1][near], units[1:][near]), return_counts=True)
+        yield 3, keys, np.stack([n, np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys))], 1)
     keys, inverse = np.unique(every, return_inverse=True)
     yield 1, keys, np.stack([np.bincount(inverse, which == k, len(keys)) for k in range(4)], 1)
 
@@ -184,7 +245,7 @@ def event_counts(docs: DataFrame) -> DataFrame:
     """(tab, key, a, b, c, d): the counts of the model over all texts."""
 
     def run(batches):
-        pending: dict[int, list] = {0: [], 1: []}
+        pending: dict[int, list] = {0: [], 1: [], 2: [], 3: []}
 
         def settled(t):
             keys = np.concatenate([k for k, _ in pending[t]])
@@ -220,10 +281,11 @@ class Model:
 
     def __init__(self, rows: list, totals: dict):
         tables = []
-        for t in (0, 1):
+        for t in range(4):
             own = sorted((np.int64(r["key"]).view(np.uint64).item(), r["a"], r["b"], r["c"], r["d"]) for r in rows if r["tab"] == t)
             tables.append((np.array([r[0] for r in own], np.uint64), np.array([r[1:] for r in own], float).reshape(-1, 4)))
-        (self.left, self.left_n), (self.right, self.right_n) = tables
+        (self.left, self.left_n), (self.right, self.right_n), (self.unit, self.unit_n), (self.pair, self.pair_n) = tables
+        self.units = totals.get(2, np.zeros(4)) + 1.0
         self.total = totals.get(1, np.ones(4)) + 1.0
         n = totals.get(0, np.zeros(4))
         # boundaries within paragraphs for each one at its end, if most full stops are boundaries
@@ -231,6 +293,23 @@ class Model:
         # closing quotes before a word without case, for each paragraph that begins with one
         self.closings = self.total[2] / max(n[3], 1.0)
 
+    def gap_odds(self, s: Slots) -> np.ndarray:
+        """Log odds of a boundary between words without a mark, by bigrams with the boundary token."""
+
+        def found(keys, values, x):
+            at = among(keys, x)
+            return np.where(at[:, None] >= 0, values[np.maximum(at, 0)], 0.0) if len(keys) else np.zeros((len(x), 4))
+
+        left, after = found(self.unit, self.unit_n, s.gap_left), found(self.unit, self.unit_n, s.gap_next)
+        usual = self.units[0] / self.units[1]
+        ends = np.log((left[:, 0] + 2 * usual) / (left[:, 1] + 2) / usual)
+        begin, same = found(self.right, self.right_n, s.gap_begin), found(self.right, self.right_n, s.right[s.gap])
+        begins = np.log((begin[:, 0] + 0.005) / self.total[0] / ((same[:, 1] + 0.3) / self.total[1]))
+        # how much more often than by chance the two stand together
+        chance = (left[:, 1] + 1) * (after[:, 1] + 1) / self.units[1]
+        together = np.log((found(self.pair, self.pair_n, pair_hash(s.gap_left, s.gap_next))[:, 0] + 0.5) / (chance + 0.5))
+        return s.gap_prior + np.clip(ends, -3, 4) + np.clip(begins, -4, 6) - np.clip(together, -2, 5)
+
     def odds(self, s: Slots) -> np.ndarray:
         k = s.next_kind
         at = among(self.left, s.left)
@@ -251,13 +330,16 @@ class Model:
         # a word that follows full stops far more often than it begins paragraphs belongs to what is before them
         ratio += np.minimum(0.0, np.log((n[:, 0] * self.ratio + 0.3) / (n[:, 3] + 0.3)))
         upper, lower, caseless, digit = (k == x for x in (codes.UPPER, codes.LOWER, codes.CASELESS, codes.DIGIT))
-        score = score + np.where(upper | caseless & (s.kind != WIDE_MARK) | (s.kind == GAP), ratio, 0.0)
+        score = score + np.where(upper | caseless & (s.kind != WIDE_MARK), ratio, 0.0)
         score = np.where(lower & (s.kind != GAP), -8.0, score)
         score = np.where(digit, score - 2.5, score)
         score = np.where((k == codes.PUNCT) & ~s.opened, -6.0, score)
         # a clause after a quotation: a word that follows closing quotes more often than such a beginning would
         clause = np.log((n[:, 0] * self.closings + 0.3) / (n[:, 2] + 0.3))
         score = np.where(s.closed & caseless & ~s.is_hard, np.clip(clause * 1.5 + 2.0, -8, 8), score)
+        if len(s.gap):
+            own = self.gap_odds(s)
+            score[s.gap] = np.where(((k == codes.PUNCT) & ~s.opened)[s.gap], -6.0, np.where(digit[s.gap], own - 2.5, own))
         return np.where(s.is_hard, 30.0, score)
 
     def posterior(self, s: Slots) -> np.ndarray:
@@ -296,7 +378,7 @@ def sentence_model(docs: DataFrame, vocabulary: int = VOCABULARY) -> Model:
     counts = event_counts(docs).persist()
     totals = {r["tab"]: np.array([r["a"], r["b"], r["c"], r["d"]], float) for r in counts.groupBy("tab").agg(*(F.sum(x).alias(x) for x in "abcd")).collect()}
     rows = []
-    for t in (0, 1):  # the most frequent words of each table
+    for t in range(4):  # the most frequent words of each table
         rows += most_frequent(counts.where(F.col("tab") == t).withColumn("all", F.col("a") + F.col("b") + F.col("c") + F.col("d")), "all", vocabulary).drop("all").collect()
     counts.unpersist()
     return Model(rows, totals)
