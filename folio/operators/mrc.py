@@ -16,32 +16,53 @@ LINE_K = 0.1
 FILL_FOREGROUND, FILL_BACKGROUND = 3, 10
 
 
+#: Which writing a box holds: (least and most share of dark, least and most share of light, whether light is the rarer
+#: and quieter one, or None where that does not matter) -> choice.  The first row that holds decides.
+CHOICES = (
+    (0.3, 1.0, 0.3, 1.0, None, None),
+    (0.0, 0.2, 0.2, 1.0, None, "dark"),
+    (0.0, 1.0, 0.0, 0.3, True, "light"),
+    (0.0, 0.2, 0.0, 1.0, None, "dark"),
+)
+QUIET = 0.1
+
+
 def line_mask(gray: np.ndarray, boxes: list[tuple[int, int, int, int]], dpi: int | None) -> np.ndarray:
-    """Mask of the text in the boxes (x0, y0, x1, y1); dark and light writing are told apart; later boxes win."""
+    """Mask of the text in the boxes (x0, y0, x1, y1); dark and light writing are told apart by CHOICES; later boxes win."""
     out = np.zeros(gray.shape, bool)
     window = K.window_for(dpi)
     for x0, y0, x1, y1 in boxes:
         crop = gray[y0:y1, x0:x1]
         if not crop.size:
             continue
-        dark, light = K.sauvola(crop, window, LINE_K), K.sauvola(255 - crop, window, LINE_K)
-        a, b = dark.mean(), light.mean()
-        chosen = None
-        if a < 0.3 or b < 0.3:
-            if b > 0.2 and a < 0.2:
-                chosen = dark
-            else:
-                # the estimates of noise are made only where shares do not decide
-                quiet = False
-                if b < 0.3 and b < a:
-                    s, t = K.noise_level(dark.astype(float)), K.noise_level(light.astype(float))
-                    quiet = t < s or (s < 0.1 and t < 0.1)
-                chosen = light if quiet else dark if a < 0.2 else None
-        if chosen is not None:
-            out[y0:y1, x0:x1] = chosen
+        made = {"dark": K.sauvola(crop, window, LINE_K), "light": K.sauvola(255 - crop, window, LINE_K)}
+        a, b = made["dark"].mean(), made["light"].mean()
+
+        def quieter() -> bool:
+            if b >= a:
+                return False
+            s, t = (K.noise_level(made[k].astype(float)) for k in ("dark", "light"))
+            return t < s or max(s, t) < QUIET
+
+        choice = next((c for low, high, low2, high2, quiet, c in CHOICES if _within(a, low, high) and _within(b, low2, high2) and (quiet is None or quieter())), None)
+        if choice:
+            out[y0:y1, x0:x1] = made[choice]
     return out
 
 
+def _within(share: float, low: float, high: float) -> bool:
+    """low itself belongs to what lies above 0.3 and not to what lies above 0.2; no upper end belongs, but for 1."""
+    return (share >= low if low in (0.0, 0.3) else share > low) and (share < high or high == 1.0)
+
+
+FORM_BITONAL, FORM_FORCED, FORM_LAYERS = "bitonal", "forced", "layers"
+
+
+def page_form(image: np.ndarray, force_bitonal: bool = False) -> str:
+    """How a page is written: one of one bit as it is, else as the inverse of its mask where that is asked for, else in layers."""
+    return FORM_BITONAL if image.dtype == bool else FORM_FORCED if force_bitonal else FORM_LAYERS
+
+
 def threshold_mask(gray: np.ndarray, dpi: int | None) -> np.ndarray:
     """Mask of the whole page, blurred first by a tenth of its noise where that is above 1."""
     sigma = K.page_noise_level(gray)

@@ -12,8 +12,11 @@ LEAST_CONFIDENCE = 20
 
 
 def words_once(words: DataFrame) -> DataFrame:
-    """words without repeated rows."""
-    return words.dropDuplicates(["doc", "page_idx", "line", "word"])
+    """words without repeated rows; of rows that differ the first by loaded_at (NULL last) and then by text stays."""
+    keys = ["doc", "page_idx", "line", "word"]
+    first = [F.col("loaded_at").isNull(), F.col("loaded_at")] if "loaded_at" in words.columns else []
+    own = words.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in words.columns if c not in keys)), F.struct(*first, F.coalesce("text", F.lit("")))).alias("_own"))
+    return own.select(*keys, "_own.*").select(*words.columns)
 
 
 def line_confidence(words: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def placed_words(words: DataFrame, pages: DataFrame) -> DataFrame:
     j = j.withColumn("lx1", x1).withColumn("lx2", x2).withColumn("ly1", c1).withColumn("ly2", c2)
     first = Window.partitionBy("doc", "page_idx", "line").orderBy("word")
     direction = F.first("direction").over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    j = j.withColumn("dir", F.when(direction == "unspecified", "LTR").otherwise(direction))
+    j = j.withColumn("dir", F.when(direction.isNull() | direction.isin("LTR", "RTL"), direction).when(direction == "unspecified", "LTR").otherwise(F.raise_error(F.concat(F.lit("unknown direction: "), direction)).cast("string")))
     line = {k: F.col(f"l{k}") for k in ("x1", "y1", "x2", "y2")}
     word = {k: F.col("bbox")[k] for k in ("x0", "y0", "x1", "y1")}
     foot = G.word_baseline(F.col("dir") == "RTL", ppi, F.col("height"), word, line)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folio.operators import text_layer as T
 from folio.plans.metrics import modes
-from folio.plans.pages import PAGES_SQL, pages, read
-from folio.plans.text import WORDS_SQL, placed
+from folio.plans.pages import OUT_SQL, PAGES_SQL, pages, read
+from folio.plans.shipping import shared_folder
+from folio.plans.text import SIZE_SQL, WORDS_SQL, placed
 from folio.sources import archive, codecs, hocr, images, pdf, scandata
 
 
@@ -57,10 +59,22 @@ def page_image_files(spark, d):
 
 
 def page_zips(spark, d):
+    """Names in the archives of page images, and the bytes of the rasters in them."""
+    import io
+    import zipfile
+
     from folio.plans.raster import pages_of
 
+    def run(batches):
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                with zipfile.ZipFile(io.BytesIO(r.zip)) as z:
+                    out += [(r.doc, int(r.pages), n, int(images.decode(z.read(n)).size)) for n in z.namelist()]
+            yield pd.DataFrame(out, columns=["doc", "pages", "name", "bytes"])
+
     z = archive.page_zips(pages_of(spark, d), spark.range(1).select(F.col("id").alias("doc"), F.lit("vectors").alias("identifier")))
-    return z.select("doc", "pages", F.length("zip").alias("bytes"))
+    return z.mapInPandas(run, "doc long, pages int, name string, bytes long")
 
 
 def page_json(spark, d):
@@ -71,18 +85,18 @@ def page_json(spark, d):
 
 
 def item_rasters(spark, d):
-    """A raster for every page of every item: the strips of the test vectors, dealt out over docs and pages in turn."""
+    """An image file for every page of every item: the strips of the test vectors, dealt out over docs and pages in turn."""
     from folio.plans.raster import pages_of
 
-    strips = pages_of(spark, d).drop("doc", "boxes", "dpi").withColumnRenamed("page_idx", "strip")
+    strips = images.write_stack(pages_of(spark, d).withColumnRenamed("page_idx", "strip"), shared_folder(spark, "folio-strips"), ["strip"])
     number = read(spark, d, "embeddings").agg((F.expr("max(vec_id) div 25") + 1).alias("strips"))
-    keys = read(spark, d, "page_geometry").select("doc", "page_idx").distinct().crossJoin(F.broadcast(number))
+    keys = read(spark, d, "page_geometry").select("doc", "page_idx").distinct().crossJoin(F.broadcast(number))  # one row
     dealt = keys.select("doc", "page_idx", F.pmod(F.col("doc") + F.col("page_idx"), F.col("strips")).cast("int").alias("strip"))
-    return dealt.join(strips, "strip").drop("strip")
+    return dealt.join(strips, "strip").select("doc", "page_idx", "path")
 
 
 def recoded(spark, d):
-    """Layered documents of all items with pages, their pages of bytes with the text layer of the same pages."""
+    """Layered documents of all items with pages, from image files, with the text layer of the same pages."""
     from folio.plans.recode import Options, recode
 
     parts, report = recode(item_rasters(spark, d), *(read(spark, d, n) for n in ("ocr_words", "page_geometry", "scandata_pages", "items")), Options(bg_downsample=2))
@@ -90,6 +104,64 @@ def recoded(spark, d):
     return report.join(size, "doc").select("doc", "pages", "source_bytes", (F.col("bytes") > 0).alias("written"), F.array_join("warnings", ",").alias("warnings"))
 
 
+def recoded_bitonal(spark, d):
+    """The same documents in one bit a pixel: one picture a page, by the documents' parts read again."""
+    from folio.plans.recode import Options, recode
+
+    parts, report = recode(item_rasters(spark, d), *(read(spark, d, n) for n in ("ocr_words", "page_geometry", "scandata_pages", "items")), Options(bitonal=True, limit=3))
+    found = lambda pattern: F.sum(F.size(F.expr(f"regexp_extract_all(decode(data, 'ISO-8859-1'), '{pattern}', 0)"))).alias("n")
+    one_bit = parts.groupBy("doc").agg(found("/BitsPerComponent 1 ").alias("pictures"))
+    return report.join(one_bit, "doc").select("doc", "pages", "source_bytes", F.col("pictures").cast("long").alias("pictures"))
+
+
+def pdf_rasters(spark, d):
+    """Documents of four strips each as PDF, with a line of text on every page: (doc, pdf)."""
+    from folio.plans.raster import pages_of
+
+    def run(key, rows):
+        pages = [{"width": r.width / 2, "height": r.height / 2, "content": "BT\n3 Tr /f-0-0 8 Tf [ <00410020> ] TJ\nET\n", "images": [{"width": r.width, "height": r.height, "data": bytes(r.data)}]} for r in rows.sort_values("page_idx").itertuples()]
+        return pd.DataFrame({"doc": [key[0]], "pdf": [pdf.build(pages, f"Strips {key[0]}")]})
+
+    strips = pages_of(spark, d).withColumn("doc", F.expr("page_idx div 4"))
+    return strips.groupBy("doc").applyInPandas(run, "doc long, pdf binary")  # four pages
+
+
+def recompressed(spark, d):
+    """What is on the pages of PDFs whose pictures were separated into layers, and of the PDFs before."""
+    from folio.plans.recompress import recompress
+
+    before = pdf_rasters(spark, d)
+    facts = lambda f: pdf.pdf_pages(f).select("doc", "page", "has_text", F.size("images").alias("images"), F.size(F.filter("images", lambda x: x["mask_xref"] > 0)).alias("masks"), F.col("images")[0]["bbox"].alias("bbox"))
+    after = facts(recompress(before))
+    return after.join(facts(before).select("doc", "page", F.col("images").alias("were"), F.col("bbox").alias("at")), ["doc", "page"]).select("doc", "page", "has_text", "were", "images", "masks", (F.col("bbox") == F.col("at")).alias("in_place"))
+
+
+def pdf_page_pictures(spark, d):
+    """Size, mode and scale of the pictures of PDFs, and whether their pixels are those of the strips they were made of."""
+    from folio.plans.raster import pages_of
+
+    r = pdf.page_rasters(pdf_rasters(spark, d))
+    own = pages_of(spark, d).select(F.expr("page_idx div 4").alias("doc"), (F.col("page_idx") % 4).alias("page_idx"), F.col("data").alias("was"))
+    return r.join(own, ["doc", "page_idx"]).select("doc", "page_idx", "height", "width", "mode", (F.col("data") == F.col("was")).alias("same"))
+
+
+def recoded_from_pdf(spark, d):
+    """Pages of PDFs recoded with OCR pages in which some are skipped: the n-th kept page takes the n-th page of the PDF."""
+    from folio.plans.recode import Options, recode
+
+    data = [read(spark, d, n) for n in ("ocr_words", "page_geometry", "scandata_pages", "items")]
+    _, report = recode(pdf.page_rasters(pdf_rasters(spark, d)), *data, Options(from_pdf=True, limit=4))
+    return report.select("doc", "pages", "source_bytes")
+
+
+def page_json_facts(spark, d):
+    """Page facts through JSON and back, boxes in two decimals."""
+    from folio.operators.images import page_record
+
+    j = archive.page_json(page_record(read(spark, d, "page_images"), read(spark, d, "page_geometry")))
+    return archive.read_page_json(j).select("doc", "page", "xref", "width", "height", "depth", "label", "mask_xref")
+
+
 def codec_commands(spark, d):
     rows = [(i, e, n, " ".join(codecs.command(i, e, ["-x"], n))) for i in codecs.PROGRAMS for e in (True, False) for n in (1, 4)]
     return spark.createDataFrame(rows, "implementation string, encoding boolean, threads int, command string")
@@ -101,8 +173,17 @@ def text_verdicts(spark, d):
     return i.groupBy("doc", "mode").agg(F.count("*").alias("images"))
 
 
-QUERIES = {f.__name__: f for f in (hocr_words, scandata_round_trip, pdf_page_facts, page_image_files, page_zips, page_json, recoded, codec_commands, text_verdicts)}
+QUERIES = {f.__name__: f for f in (hocr_words, scandata_round_trip, pdf_page_facts, page_image_files, page_zips, page_json, page_json_facts, pdf_page_pictures, recompressed, recoded, recoded_bitonal, recoded_from_pdf, codec_commands, text_verdicts)}
+STRIPS_SQL = "st AS (SELECT k::INT AS strip, (least(25, n - k * 25) * 4)::INT AS h FROM (SELECT count(*) AS n FROM embeddings), (SELECT unnest(range(0, 1 + (SELECT count(*) FROM embeddings) // 25)) AS k) WHERE k * 25 < n)"
+KEPT_SQL = f"{OUT_SQL}, kp AS (SELECT o.doc, o.idx, o.out_idx FROM o JOIN (SELECT DISTINCT doc, page_idx FROM page_geometry WHERE imwidth > 0) g ON o.doc = g.doc AND o.idx = g.page_idx WHERE NOT o.skipped)"
 ORACLES = {
+    "page_zips": f"WITH {STRIPS_SQL} SELECT 0::BIGINT AS doc, (SELECT count(*) FROM st)::INT AS pages, 'vectors_png/vectors_' || lpad(strip::VARCHAR, 4, '0') || '.png' AS name, h::BIGINT * 256 AS bytes FROM st",
+    "page_json_facts": "SELECT g.doc, g.page_idx AS page, i.xref, i.width, i.height, i.depth, i.label, i.mask_xref FROM (SELECT DISTINCT doc, page_idx FROM page_geometry) g JOIN page_images i ON g.doc = i.doc AND g.page_idx = i.page",
+    "pdf_page_pictures": f"WITH {STRIPS_SQL} SELECT strip::BIGINT // 4 AS doc, strip % 4 AS page_idx, h AS height, 256 AS width, 'L' AS mode, true AS same FROM st",
+    "recompressed": f"WITH {STRIPS_SQL} SELECT strip::BIGINT // 4 AS doc, strip % 4 AS page, true AS has_text, 1 AS were, 2 AS images, 1 AS masks, true AS in_place FROM st",
+    "recoded": f"{SIZE_SQL.strip()}, {STRIPS_SQL}, {KEPT_SQL} SELECT kp.doc, count(*) AS pages, sum(h * 256)::BIGINT AS source_bytes, true AS written, CASE WHEN bool_or(coalesce(bad, false)) THEN 'invalid-page-size' ELSE '' END AS warnings FROM kp JOIN st ON (kp.doc + kp.idx) % (SELECT count(*) FROM st) = st.strip JOIN w5 z ON kp.doc = z.doc AND kp.idx = z.page_idx GROUP BY kp.doc",
+    "recoded_bitonal": f"WITH {STRIPS_SQL}, {KEPT_SQL} SELECT kp.doc, count(*) AS pages, sum(h * 256)::BIGINT AS source_bytes, count(*) AS pictures FROM kp JOIN st ON (kp.doc + kp.idx) % (SELECT count(*) FROM st) = st.strip WHERE out_idx < 3 GROUP BY kp.doc",
+    "recoded_from_pdf": f"WITH {STRIPS_SQL}, {KEPT_SQL} SELECT kp.doc, count(*) AS pages, coalesce(sum(h * 256), 0)::BIGINT AS source_bytes FROM kp LEFT JOIN st ON kp.doc = st.strip // 4 AND kp.out_idx = st.strip % 4 WHERE out_idx < 4 GROUP BY kp.doc",
     "hocr_words": f"""WITH {WORDS_SQL}, n AS (SELECT w.*, imwidth, imheight, hocr_dpi, dense_rank() OVER (PARTITION BY w.doc, w.page_idx ORDER BY line) - 1 AS ln, row_number() OVER (PARTITION BY w.doc, w.page_idx, line ORDER BY word) - 1 AS wn FROM w JOIN page_geometry g ON w.doc = g.doc AND w.page_idx = g.page_idx)
       SELECT doc || '/' || page_idx AS doc, imwidth AS page_width, imheight AS page_height, hocr_dpi AS scan_res, ln::INT AS line_no, wn::INT AS word_no, trim(coalesce(text, '')) AS text, floor(conf * 1000 + 0.5)::BIGINT AS conf, floor(bbox.x0 * 1000 + 0.5)::BIGINT AS x0, floor(bbox.y1 * 1000 + 0.5)::BIGINT AS y1, floor(fontsize * 1000 + 0.5)::BIGINT AS fontsize, direction FROM n""",
     "scandata_round_trip": f"WITH {PAGES_SQL} SELECT doc, idx, leaf_num, page_type._VALUE AS kind, page_type._title AS title, add_to_access, nullif(trim(page_number), '') AS page_number, ppi FROM p",

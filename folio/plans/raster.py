@@ -144,6 +144,7 @@ def sauvola_sql(name: str, r: int, k: float) -> str:
 A, B = sauvola_sql("a", 7, 0.34), sauvola_sql("b", 25, 0.1)
 COLOUR_SQL = f"{RASTER_SQL}, co AS (SELECT y AS doc, x // 3 AS x, max(p) FILTER (x % 3 = 0) AS r, max(p) FILTER (x % 3 = 1) AS g, max(p) FILTER (x % 3 = 2) AS b FROM px WHERE x < 63 GROUP BY y, x // 3)"
 ORACLES = {
+    "step_timings": "SELECT unnest(['grey_conversion', 'hocr_mask_gen', 'threshold', 'fast_denoise', 'fg_partial_blur', 'bg_partial_blur']) AS key, (count(*) + 24) // 25 AS pages FROM embeddings",
     "sauvola_mean": f"WITH {RASTER_SQL}, {A} SELECT y, x, mean, var FROM a",
     "sauvola_mask": f"WITH {RASTER_SQL}, {A} SELECT y, x, dark FROM a",
     "line_threshold": f"WITH {RASTER_SQL}, {B} SELECT y, x, dark FROM b",

@@ -10,6 +10,7 @@ from folio.operators import text_layer as T
 from folio.operators.geometry import page_sizes, with_document
 from folio.plans.metrics import SIZE_SQL
 from folio.plans.pages import read
+from folio.sources.codecs import DEFAULT_FLAGS
 
 
 def words(spark, d):
@@ -91,8 +92,10 @@ def h_stretch(spark, d):
 
 
 def text_streams(spark, d):
+    """What the hidden text layer of each page holds: words, all of their codes in order, changes of font and of matrix."""
     s = T.page_streams(placed(spark, d))
-    return s.select("doc", "page_idx", F.length("content").alias("length"), F.sha2("content", 256).alias("sha"))
+    codes = F.array_join(F.regexp_extract_all("content", F.lit("<([0-9A-F]*)>"), 1), "")
+    return s.select("doc", "page_idx", F.regexp_count("content", F.lit("TJ")).cast("long").alias("words"), F.sha2(codes, 256).alias("codes"), F.regexp_count("content", F.lit(" Tf")).cast("long").alias("fonts"), F.regexp_count("content", F.lit(" Tm")).cast("long").alias("matrices"))
 
 
 def text_parts(spark, d):
@@ -107,8 +110,19 @@ def text_parts(spark, d):
 
 
 def text_pdf(spark, d):
-    """Size and number of parts of each text-only document."""
-    return text_parts(spark, d).groupBy("doc").agg(F.count("*").alias("parts"), F.sum(F.length("data")).alias("bytes"))
+    """Of each text-only document the parts, the objects that are written, the numbers of its table and whether that stands where the file says."""
+    from folio.sources.pdf_parts import BLOCK
+
+    parts = text_parts(spark, d).withColumn("text", F.expr("decode(data, 'ISO-8859-1')"))
+    in_table = F.col("text").rlike("^(xref\\n|[0-9]{10} [0-9]{5} [nf] )")
+    number = lambda pattern: F.regexp_extract("text", pattern, 1).try_cast("long")
+    of = parts.groupBy("doc").agg(
+        F.count("*").alias("parts"),
+        F.sum(F.regexp_count("text", F.lit("(?m)^[0-9]+ 0 obj$"))).cast("long").alias("objects"),
+        F.max(number("^xref\\n0 ([0-9]+)\\n")).alias("numbers"),
+        (F.max(number("startxref\\n([0-9]+)\\n%%EOF\\n$")) == F.sum(F.when(in_table, 0).otherwise(F.length("data")))).alias("placed"),
+    )
+    return of.withColumn("table_parts", F.ceil(F.col("numbers") / BLOCK).cast("long"))
 
 
 def codec_arguments(spark, d):
@@ -131,8 +145,11 @@ o AS (SELECT *, ((wx - lx2) * (lx2 - lx1) + (wy - ly2) * (ly2 - ly1)) / nullif(s
    CASE WHEN fontsize > 0 THEN fontsize WHEN abs(ly2 - ly1) > 0 THEN abs(ly2 - ly1) ELSE 8 END AS size, atan2(ly1 - ly2, lx2 - lx1) AS theta, CASE WHEN rtl THEN -1 ELSE 1 END AS sgn FROM m),
 pl AS (SELECT *, coalesce(lx2 + share * (lx2 - lx1), lx1) * 72 / ppi AS x, ph - coalesce(ly2 + share * (ly2 - ly1), ly1) * 72 / ppi AS y FROM o),
 mv AS (SELECT *, x - lag(x) OVER q AS dx, y - lag(y) OVER q AS dy, coalesce(lag(size) OVER q <> size, true) AS new_font, coalesce(lag(dir) OVER q <> dir, true) AS new_matrix FROM pl WINDOW q AS (PARTITION BY doc, page_idx, par ORDER BY line, word))"""
+TEXT_PAGES_SQL = f"WITH {WORDS_SQL}, n AS (SELECT w.doc, count(DISTINCT w.page_idx) AS n FROM w JOIN page_geometry g ON w.doc = g.doc AND w.page_idx = g.page_idx WHERE g.imwidth > 0 GROUP BY w.doc)"
 M3 = "floor({0} * 1000 + 0.5)::BIGINT AS {1}"
 ORACLES = {
+    "codec_arguments": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{i}', '{layer}', {str(hq).lower()}, '{flags}')" for f, i, layer, hq, flags in DEFAULT_FLAGS) + ") AS t(format, implementation, layer, hq, flags)",
+    "text_pdf": f"{TEXT_PAGES_SQL}, z AS (SELECT doc, n, (n + 31) // 32 AS nodes FROM n), y AS (SELECT *, 14 + 6 * n + 3 * nodes AS numbers FROM z) SELECT doc, 1 + n + (numbers + 4095) // 4096 AS parts, 12 + 3 * n + 3 * nodes AS objects, numbers, true AS placed, (numbers + 4095) // 4096 AS table_parts FROM y",
     "line_confidence": f"WITH {WORDS_SQL} SELECT doc, page_idx, line, count(*) AS words, coalesce(sum(round(conf * 100)::BIGINT) // nullif(count(conf), 0) + CASE WHEN sum(round(conf * 100)::BIGINT) < 0 AND sum(round(conf * 100)::BIGINT) % count(conf) <> 0 THEN 0 ELSE 0 END, 0)::BIGINT AS confidence FROM w GROUP BY doc, page_idx, line",
     "admit_lines": f"WITH {WORDS_SQL} SELECT doc, page_idx, line, count(*)::INT AS words, coalesce(avg(conf), 0) >= 20 AND bool_or(trim(coalesce(text, '')) <> '') AS admitted FROM w GROUP BY doc, page_idx, line",
     "bbox_downscale": f"WITH {WORDS_SQL} SELECT doc, page_idx, line, word, trunc(bbox.x0 / 3)::INT AS x0, trunc(bbox.y0 / 3)::INT AS y0, trunc(bbox.x1 / 3)::INT AS x1, trunc(bbox.y1 / 3)::INT AS y1 FROM w",
@@ -148,3 +165,6 @@ ORACLES = {
     "text_delta": f"{PLACED_SQL} SELECT doc, page_idx, line, word, {M3.format('dx', 'dx')}, {M3.format('dy', 'dy')}, new_font, new_matrix FROM mv",
     "h_stretch": f"{PLACED_SQL} SELECT doc, page_idx, line, word, floor(2 * round_even(100 * length / (size * (length(coalesce(text, '')) + 1)) * 1000, 0) / 1000 * 10 + 0.5)::BIGINT AS stretch FROM pl",
 }
+ORACLES["text_streams"] = f"""{PLACED_SQL}, hx AS ({ORACLES["utf16_hex"]})
+  SELECT doc, page_idx, count(*) FILTER (mv.length > 0) AS words, sha256(coalesce(string_agg(CASE WHEN mv.length > 0 THEN coalesce(hex, '') || '0020' END, '' ORDER BY par, line, word), '')) AS codes, sum(new_font::INT)::BIGINT AS fonts, sum(new_matrix::INT)::BIGINT AS matrices
+  FROM mv LEFT JOIN hx ON mv.text IS NOT DISTINCT FROM hx.text GROUP BY doc, page_idx"""

@@ -18,6 +18,25 @@ def page_json(records: DataFrame) -> DataFrame:
     return pages.select("doc", F.to_json(F.struct(F.size("page_data").alias("page_count"), "page_data"), {"pretty": "true"}).alias("json"))
 
 
+IMAGE = "struct<xref:int,width:int,height:int,depth:int,label:string,mode:string,bbox:array<double>,mask:struct<xref:int,width:int,height:int,depth:int,mode:string>,mask_xref:int>"
+
+
+def two_decimals(x):
+    """A coordinate in two decimals, halves to the even one."""
+    return F.bround(x, 2)
+
+
+def read_page_json(texts: DataFrame) -> DataFrame:
+    """(doc, page, ord, xref, width, height, depth, label, mode, bbox, mask_xref, mask) of the images in (doc, json); boxes in two decimals.
+
+    NULL and broken JSON has no rows.
+    """
+    read = F.from_json("json", f"page_count int, page_data array<struct<page:int,image_data:array<{IMAGE}>>>")
+    pages = texts.select("doc", F.posexplode(read["page_data"]).alias("position", "p"))
+    images = pages.select("doc", F.coalesce("p.page", "position").alias("page"), F.posexplode("p.image_data").alias("ord", "i"))
+    return images.select("doc", "page", "ord", "i.xref", "i.width", "i.height", "i.depth", "i.label", "i.mode", F.transform("i.bbox", two_decimals).alias("bbox"), F.coalesce("i.mask.xref", "i.mask_xref").alias("mask_xref"), "i.mask")
+
+
 def page_zips(rasters: DataFrame, identifiers: DataFrame, codec: str = "png") -> DataFrame:
     """(doc, pages, zip): each item's pages {id}_{codec}/{id}_0000.{codec}; identifiers: (doc, identifier)."""
 

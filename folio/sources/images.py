@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
@@ -196,3 +197,26 @@ def rasters(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc", "page_idx", "height", "width", "channels", "mode", "data"])
 
     return files.select("doc", "page_idx", "content").mapInPandas(run, "doc long, page_idx int, height int, width int, channels int, mode string, data binary")
+
+
+def write_stack(rasters: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """(keys, path, bytes): rasters (keys, height, width, channels, data) as PNG files of a folder that all executors share.
+
+    A file is named by its keys and put in place when it is whole, so a task that runs twice does no harm.
+    """
+    kinds = dict(rasters.dtypes)
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                v = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"])
+                path = os.path.join(folder, "_".join(str(r[k]) for k in keys) + ".png")
+                with open(f"{path}.{os.getpid()}", "wb") as f:
+                    f.write(encode_png(v[:, :, 0] if r["channels"] == 1 else v))
+                os.replace(f"{path}.{os.getpid()}", path)
+                rows.append((*(r[k] for k in keys), path, len(r["data"])))
+            yield pd.DataFrame(rows, columns=[*keys, "path", "bytes"])
+
+    return rasters.select(*keys, "height", "width", "channels", "data").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", path string, bytes long")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from datetime import UTC, datetime
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,55 @@ def pdf_date(t: datetime) -> str:
     return t.strftime("D:%Y%m%d%H%M%SZ")
 
 
+class Image(NamedTuple):
+    """A picture: raw samples, or with ``filter`` the data of a codec."""
+
+    width: int
+    height: int
+    data: bytes
+    components: int = 1
+    bits: int = 8
+    filter: str | None = None
+
+
+def image_entries(image: Image, smask: int | None = None) -> str:
+    if image.data is None or not image.width or not image.height:
+        raise ValueError("an image needs data, width and height")
+    space = {1: "/DeviceGray", 3: "/DeviceRGB", 4: "/DeviceCMYK"}[image.components]
+    return (
+        f" /Type /XObject /Subtype /Image /Width {image.width} /Height {image.height} /BitsPerComponent {image.bits}"
+        + ("" if image.filter == "JPXDecode" else f" /ColorSpace {space}")
+        + (f" /SMask {smask} 0 R" if smask else "")
+        + (f" /Filter /{image.filter}" if image.filter else "")
+    )
+
+
+def srgb_profile() -> bytes:
+    """A display profile of the sRGB primaries under D50 with a gamma of 2.2."""
+    fixed = lambda *v: b"".join(struct.pack(">i", round(x * 65536)) for x in v)
+    xyz = lambda *v: b"XYZ \0\0\0\0" + fixed(*v)
+    name = b"sRGB\0"
+    curve = b"curv\0\0\0\0" + struct.pack(">IH", 1, round(2.2 * 256)) + b"\0\0"
+    tags = {
+        b"desc": b"desc\0\0\0\0" + struct.pack(">I", len(name)) + name + b"\0" * 79,
+        b"cprt": b"text\0\0\0\0none\0",
+        b"wtpt": xyz(0.9642, 1.0, 0.8249),
+        b"rXYZ": xyz(0.4361, 0.2225, 0.0139),
+        b"gXYZ": xyz(0.3851, 0.7169, 0.0971),
+        b"bXYZ": xyz(0.1431, 0.0606, 0.7141),
+        b"rTRC": curve,
+        b"gTRC": curve,
+        b"bTRC": curve,
+    }
+    at, table, body = 128 + 4 + 12 * len(tags), b"", b""
+    for tag, data in tags.items():
+        table += tag + struct.pack(">II", at + len(body), len(data))
+        body += data + b"\0" * (-len(data) % 4)
+    size = at + len(body)
+    head = struct.pack(">I4sI4s4s4s", size, b"\0\0\0\0", 0x02100000, b"mntr", b"RGB ", b"XYZ ") + struct.pack(">6H", 2000, 1, 1, 0, 0, 0) + b"acsp" + b"\0" * 28 + fixed(0.9642, 1.0, 0.8249) + b"\0" * 48
+    return head + struct.pack(">I", len(tags)) + table + body
+
+
 class Builder:
     """Numbered objects, put together with their table of offsets at the end."""
 
@@ -43,17 +95,9 @@ class Builder:
             data, entries = zlib.compress(data), entries + " /Filter /FlateDecode"
         return self.put(f"<< /Length {len(data)}{entries} >>\nstream\n".encode("latin-1") + data + b"\nendstream", number)
 
-    def image(self, width: int, height: int, data: bytes, components: int = 1, bits: int = 8, smask: int | None = None, filter_: str | None = None) -> int:
-        """An image; with filter_ the data are stored as they are, not encoded again."""
-        if data is None or not width or not height:
-            raise ValueError("an image needs data, width and height")
-        space = "/DeviceRGB" if components == 3 else "/DeviceGray"
-        entries = f" /Type /XObject /Subtype /Image /Width {width} /Height {height} /BitsPerComponent {bits}" + ("" if filter_ == "JPXDecode" else f" /ColorSpace {space}")
-        if smask:
-            entries += f" /SMask {smask} 0 R"
-        if filter_:
-            return self.stream(data, entries + f" /Filter /{filter_}", compress=False)
-        return self.stream(data, entries)
+    def image(self, image: Image, smask: int | None = None) -> int:
+        """An image; data that a codec has encoded are stored as they are."""
+        return self.stream(image.data, image_entries(image, smask), compress=image.filter is None)
 
     def document(self, root: int, info: int) -> bytes:
         out, offsets, at = [b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"], [], len(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n")
@@ -76,19 +120,22 @@ def glyphless_font(b: Builder) -> int:
     return b.put(f"<< /Type /Font /Subtype /Type0 /BaseFont /Glyphless /Encoding /Identity-H /DescendantFonts [{cid} 0 R] /ToUnicode {to_unicode} 0 R >>")
 
 
-def xmp(title: str, producer: str, created: datetime, conformance: bool = True) -> bytes:
-    """Metadata packet; title and producer are escaped."""
+def xmp(title: str, producer: str, created: datetime, conformance: bool = True, meta: dict[str, str] | None = None) -> bytes:
+    """Metadata packet; texts are escaped.  meta: author, subject, language, creator tool."""
     esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     stamp = created.strftime("%Y-%m-%dT%H:%M:%SZ")
     part = '<rdf:Description rdf:about="" xmlns:pdfaid="http://www.aiim.org/pdfa/ns/id/"><pdfaid:part>3</pdfaid:part><pdfaid:conformance>B</pdfaid:conformance></rdf:Description>' if conformance else ""
-    body = f'<rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title><rdf:Alt><rdf:li xml:lang="x-default">{esc(title)}</rdf:li></rdf:Alt></dc:title></rdf:Description><rdf:Description rdf:about="" xmlns:pdf="http://ns.adobe.com/pdf/1.3/"><pdf:Producer>{esc(producer)}</pdf:Producer></rdf:Description><rdf:Description rdf:about="" xmlns:xmp="http://ns.adobe.com/xap/1.0/"><xmp:CreateDate>{stamp}</xmp:CreateDate></rdf:Description>'
+    meta = meta or {}
+    more = "".join(f"<dc:{k}><rdf:{kind}><rdf:li>{esc(v)}</rdf:li></rdf:{kind}></dc:{k}>" for k, kind, v in (("creator", "Seq", meta.get("author")), ("subject", "Bag", meta.get("subject")), ("language", "Bag", meta.get("language"))) if v)
+    tool = f"<xmp:CreatorTool>{esc(meta['creatortool'])}</xmp:CreatorTool>" if meta.get("creatortool") else ""
+    body = f'<rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title><rdf:Alt><rdf:li xml:lang="x-default">{esc(title)}</rdf:li></rdf:Alt></dc:title>{more}</rdf:Description><rdf:Description rdf:about="" xmlns:pdf="http://ns.adobe.com/pdf/1.3/"><pdf:Producer>{esc(producer)}</pdf:Producer></rdf:Description><rdf:Description rdf:about="" xmlns:xmp="http://ns.adobe.com/xap/1.0/"><xmp:CreateDate>{stamp}</xmp:CreateDate>{tool}</rdf:Description>'
     return f'<?xpacket begin="﻿" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">{body}{part}</rdf:RDF></x:xmpmeta><?xpacket end="w"?>'.encode()
 
 
 def build(pages: list[dict], title: str = "", language: str | None = None, labels: str | None = None, toc: list[tuple[int, str, int]] = (), created: datetime | None = None) -> bytes:
     """A document of pages {width, height, content, images: [{width, height, data, components, bits, mask, ...}], links: [{uri, bbox}]}.
 
-    Images are drawn under the text in order, each over the whole page, with their masks; toc holds (level, title,
+    Images are drawn under the text in order, each over its bbox (else the whole page), with their masks; toc holds (level, title,
     page from 0); labels is the text of the label array.
     """
     b = Builder()
@@ -100,13 +147,12 @@ def build(pages: list[dict], title: str = "", language: str | None = None, label
     for n, p in enumerate(pages):
         names, draw = [], []
         for k, im in enumerate(p.get("images") or ()):
-            mask = None
-            if im.get("mask") is not None:
-                m = im["mask"]
-                mask = b.image(m["width"], m["height"], m["data"], 1, m.get("bits", 1))  # the mask's own size
-            x = b.image(im["width"], im["height"], im["data"], im.get("components", 1), im.get("bits", 8), mask, im.get("filter"))
+            own = lambda v, bits: Image(v["width"], v["height"], v["data"], v.get("components", 1), v.get("bits", bits), v.get("filter"))
+            mask = b.image(own(im["mask"], 1)) if im.get("mask") is not None else None  # in its own size
+            x = b.image(own(im, 8), mask)
             names.append(f"/Im{k} {x} 0 R")
-            draw.append(f"q {p['width']:.3f} 0 0 {p['height']:.3f} 0 0 cm /Im{k} Do Q\n")
+            x0, y0, x1, y1 = im.get("bbox") or (0, 0, p["width"], p["height"])
+            draw.append(f"q {x1 - x0:.3f} 0 0 {y1 - y0:.3f} {x0:.3f} {y0:.3f} cm /Im{k} Do Q\n")
         content = b.stream(("".join(draw) + (p.get("content") or "")).encode("latin-1", "replace"))
         annots = []
         for link in p.get("links") or ():
@@ -124,7 +170,8 @@ def build(pages: list[dict], title: str = "", language: str | None = None, label
     b.put(f"<< /Type /StructTreeRoot /K [{' '.join(f'{k} 0 R' for k in structs)}] /ParentTree {number_tree} 0 R >>", parents)
     outline = _outline(b, list(toc), kids)
     meta = b.stream(xmp(title, PRODUCER, created), " /Type /Metadata /Subtype /XML", compress=False)
-    intent = b.put("<< /Type /OutputIntent /S /GTS_PDFA1 /OutputConditionIdentifier (sRGB) /Info (sRGB) >>")
+    profile = b.stream(srgb_profile(), " /N 3")
+    intent = b.put(f"<< /Type /OutputIntent /S /GTS_PDFA1 /OutputConditionIdentifier (sRGB) /Info (sRGB) /DestOutputProfile {profile} 0 R >>")
     extra = (f" /PageLabels << /Nums [{labels}] >>" if labels else "") + (f" /Outlines {outline} 0 R" if outline else "") + (f" /Lang ({language})" if language else "")
     b.put(f"<< /Type /Catalog /Pages {tree} 0 R /MarkInfo << /Marked true >> /StructTreeRoot {parents} 0 R /Metadata {meta} 0 R /OutputIntents [{intent} 0 R]{extra} >>", root)
     b.put(f"<< /Producer {text_string(PRODUCER)} /CreationDate ({pdf_date(created)}) /Title {text_string(title)} >>", info)
@@ -200,6 +247,111 @@ class Reader:
                 return b""
         return raw
 
+    def colour(self, text: str | None, depth: int = 0) -> tuple[str | None, int, np.ndarray | None]:
+        """Name, components and palette of a colour space; profiles count by their number of components."""
+        text = (text or "").strip()
+        n = self.ref(text)
+        if n is not None and not text.startswith("["):
+            return self.colour(self.bodies.get(n, b"").decode("latin-1").strip(), depth + 1) if depth < 8 else (None, 0, None)
+        name = (re.match(r"\[?\s*/([^\s/\[\]<>()]+)", text) or [None, None])[1]
+        if name in ("DeviceGray", "CalGray", "G"):
+            return name, 1, None
+        if name in ("DeviceRGB", "CalRGB", "Lab", "RGB"):
+            return name, 3, None
+        if name in ("DeviceCMYK", "CMYK"):
+            return name, 4, None
+        if name == "ICCBased":
+            body = self.bodies.get(self.ref(text[text.find("ICCBased") + 8 :].strip()) or -1, b"")
+            return name, int(self.value(body, "N") or 3), None
+        if name == "Separation":
+            return name, 1, None
+        if name == "DeviceN":
+            names = re.search(r"DeviceN\s*\[([^\]]*)\]", text)
+            return name, max(1, len(re.findall(r"/[^\s/\[\]]+", names[1] if names else ""))), None
+        if name in ("Indexed", "I"):
+            m = re.match(r"\[\s*/\w+\s+(/\w+|\d+\s+\d+\s+R|\[.*?\])\s+(\d+)\s*(.*)\]", text, re.S)
+            _, k, _ = self.colour(m[1], depth + 1) if m else (None, 3, None)
+            table = m[3].strip() if m else ""
+            ref = self.ref(table)
+            raw = self.stream(self.bodies[ref]) if ref in self.bodies else bytes.fromhex(re.sub(r"[^0-9A-Fa-f]", "", table)) if table.startswith("<") else b""
+            return name, 1, np.frombuffer(raw[: len(raw) // max(k, 1) * k], np.uint8).reshape(-1, max(k, 1))
+        return name, 0, None
+
+    def picture(self, xref: int) -> dict:
+        """Size, depth, mode, colour space and filter of an image, as it would be decoded: anything but one bit has eight."""
+        im = self.bodies.get(xref, b"")
+        number = lambda key: int(re.match(r"\d+", self.value(im, key) or "0")[0] if re.match(r"\d+", self.value(im, key) or "0") else 0)
+        bits = number("BitsPerComponent") or 8
+        mask = (self.value(im, "ImageMask") or "") == "true"
+        name, n, palette = ("DeviceGray", 1, None) if mask else self.colour(self.whole(im, "ColorSpace"))
+        if palette is not None:
+            n = palette.shape[1]
+        if name == "ICCBased" or name == "DeviceN":  # of unknown make: read as colours
+            mode = "RGB"
+        else:
+            mode = {1: "L", 3: "RGB", 4: "CMYK"}.get(n)
+        one = mask or bits == 1 and mode == "L" and palette is None
+        return {"xref": xref, "width": number("Width"), "height": number("Height"), "depth": 1 if one else 8, "mode": "1" if one else mode, "colorspace": name, "filter": (self.value(im, "Filter") or "").strip("[]/ "), "components": n, "bits": 1 if mask else bits, "palette": palette}
+
+    def whole(self, body: bytes, key: str) -> str | None:
+        """A value with all of its nested brackets."""
+        head = self.head(body).decode("latin-1")
+        m = re.search(rf"/{key}\s*", head)
+        if not m:
+            return None
+        if head[m.end() : m.end() + 1] != "[":
+            return self.value(body, key)
+        level, at = 0, m.end()
+        for at in range(m.end(), len(head)):
+            level += (head[at] == "[") - (head[at] == "]")
+            if not level:
+                break
+        return head[m.end() : at + 1]
+
+    def pixels(self, xref: int) -> np.ndarray | None:
+        """Raster of an image: raw and deflated samples here, other filters by their registered decoders; None where it is broken."""
+        from folio.sources import codecs
+
+        p = self.picture(xref)
+        w, h = p["width"], p["height"]
+        body = self.bodies.get(xref, b"")
+        if not w or not h:
+            return None
+        coded = {"DCTDecode": "jpeg", "JPXDecode": "jpeg2000", "JBIG2Decode": "jbig2", "CCITTFaxDecode": "ccitt"}.get(p["filter"])
+        if coded:
+            return np.asarray(codecs.decoder(coded)(self.stream(body)))
+        n, bits = (1 if p["palette"] is not None else p["components"]), p["bits"]
+        stride = (w * n * bits + 7) // 8
+        raw = self.stream(body)
+        if not n or len(raw) < stride * h:
+            return None
+        rows = np.frombuffer(raw, np.uint8)[: stride * h].reshape(h, stride)
+        if bits < 8:
+            v = (np.unpackbits(rows, axis=1)[:, : w * n * bits].reshape(h, w, n, bits) * (1 << np.arange(bits - 1, -1, -1))).sum(3)
+            v = v if p["palette"] is not None else v * (255 // ((1 << bits) - 1))
+        else:
+            v = rows[:, :: bits // 8][:, : w * n].reshape(h, w, n)
+        v = v.astype(np.uint8)
+        if p["palette"] is not None:
+            v = p["palette"][np.minimum(v[:, :, 0], len(p["palette"]) - 1)]
+            n = v.shape[2]
+        if n == 4:  # inks to light
+            v = ((255 - v[:, :, :3].astype(int)) * (255 - v[:, :, 3:].astype(int)) // 255).astype(np.uint8)
+        elif n == 2:
+            v = v[:, :, 0]
+        v = v[:, :, 0] if v.ndim == 3 and v.shape[2] == 1 else v
+        return v > 127 if p["mode"] == "1" else v
+
+    def title(self) -> str:
+        """Title of the document's information, or none."""
+        for body in self.bodies.values():
+            if re.search(rb"/Producer\b", self.head(body)) and (raw := self.value(body, "Title")):
+                if raw.startswith("<"):
+                    data = bytes.fromhex(raw.strip("<>"))
+                    return data[2:].decode("utf-16-be", "ignore") if data[:2] == b"\xfe\xff" else data.decode("latin-1")
+                return raw.strip("()")
+        return ""
+
     def page_numbers(self) -> list[int]:
         root = next((n for n, b in self.bodies.items() if re.search(rb"/Type\s*/Catalog\b", self.head(b))), None)
         out: list[int] = []
@@ -236,7 +388,8 @@ class Reader:
                 im = self.bodies.get(xref, b"")
                 if self.value(im, "Subtype") == "/Image" and label in place:
                     t = place[label]
-                    images.append({"ord": k, "xref": xref, "mask_xref": self.ref(self.value(im, "SMask")) or 0, "width": int(self.value(im, "Width") or 0), "height": int(self.value(im, "Height") or 0), "depth": int(self.value(im, "BitsPerComponent") or 8), "label": label, "stream_filter": (self.value(im, "Filter") or "").strip("/"), "bbox": [round(x, 2) for x in (t[4], t[5], t[4] + t[0], t[5] + t[3])]})
+                    p = self.picture(xref)
+                    images.append({"ord": k, "xref": xref, "mask_xref": self.ref(self.value(im, "SMask")) or self.ref(self.value(im, "Mask")) or 0, "width": p["width"], "height": p["height"], "depth": p["bits"], "label": label, "stream_filter": p["filter"], "mode": p["mode"], "colorspace": p["colorspace"], "bbox": [round(x, 2) for x in (t[4], t[5], t[4] + t[0], t[5] + t[3])], "transform": [round(x, 2) for x in t]})
             links = []
             for k in re.findall(r"(\d+)\s+\d+\s+R", self.value(body, "Annots") or ""):
                 annot = self.bodies.get(int(k), b"")
@@ -249,7 +402,7 @@ class Reader:
 
 PAGES = (
     "page int, rotation int, rect array<double>, has_text boolean, "
-    "images array<struct<ord:int,xref:int,mask_xref:int,width:int,height:int,depth:int,label:string,stream_filter:string,bbox:array<double>>>, "
+    "images array<struct<ord:int,xref:int,mask_xref:int,width:int,height:int,depth:int,label:string,stream_filter:string,mode:string,colorspace:string,bbox:array<double>,transform:array<double>>>, "
     "links array<struct<xref:int,uri:string,bbox:array<double>>>, content string"
 )
 
@@ -269,3 +422,25 @@ def pdf_pages(files: DataFrame, key: str = "doc", column: str = "pdf") -> DataFr
 
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     return pdf_pages(spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("pdf")), "path")
+
+
+def page_rasters(files: DataFrame, key: str = "doc", column: str = "pdf") -> DataFrame:
+    """(key, page_idx, height, width, channels, mode, data): the first picture of each page; pages without one have no row."""
+    kind = dict(files.dtypes)[key]
+
+    def run(batches):
+        for pdf in batches:
+            for k, data in zip(pdf[key], pdf[column]):
+                if data is None:
+                    continue
+                reader = Reader(bytes(data))
+                rows = []
+                for p in reader.pages():
+                    v = reader.pixels(p["images"][0]["xref"]) if p["images"] else None
+                    if v is not None:
+                        mode = "1" if v.dtype == bool else "RGB" if v.ndim == 3 else "L"
+                        u = v.astype(np.uint8) * 255 if v.dtype == bool else np.ascontiguousarray(v)
+                        rows.append((k, p["page"], *v.shape[:2], 3 if v.ndim == 3 else 1, mode, u.tobytes()))
+                yield pd.DataFrame(rows, columns=[key, "page_idx", "height", "width", "channels", "mode", "data"])
+
+    return files.select(key, column).mapInPandas(run, f"{key} {kind}, page_idx int, height int, width int, channels int, mode string, data binary")

@@ -9,27 +9,26 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators.sequence import with_context
-from folio.sources.pdf import PRODUCER, pdf_date, text_string, xmp
+from folio.sources.pdf import Image, PRODUCER, image_entries, pdf_date, srgb_profile, text_string, xmp
 
 NODE = 32
 BLOCK = 4096
 #: Object numbers: fixed ones, then SLOTS a page, then NODES a group of NODE pages, then the outline.
-FIXED = 13
+FIXED = 14
 SLOTS = 6
 NODES = 3
-CATALOG, TREE, INFO, UNICODE, DESCRIPTOR, CID, FONT, STRUCTURE, META, INTENT, PARENTS, OUTLINE = range(1, FIXED)
+CATALOG, TREE, INFO, UNICODE, DESCRIPTOR, CID, FONT, STRUCTURE, META, INTENT, PARENTS, OUTLINE, PROFILE = range(1, FIXED)
 CONTENT, PAGE, BACK, FORE, MASK, ELEMENT = range(SLOTS)
 HEAD = b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"
-PART = "doc long, seq long, data binary, entries array<struct<number:long,at:long>>"
+PART = "doc long, seq long, data binary, entries array<struct<number:long,at:long>>, source_bytes long, warnings array<string>"
 DATE = datetime(2000, 1, 1, tzinfo=UTC)
 
 
@@ -48,35 +47,39 @@ class _Part:
             data, entries = zlib.compress(data), entries + " /Filter /FlateDecode"
         self.put(number, f"<< /Length {len(data)}{entries} >>\nstream\n".encode() + data + b"\nendstream")
 
-    def image(self, number: int, width: int, height: int, data: bytes, components: int, bits: int, smask: int | None = None) -> None:
-        space = "/DeviceRGB" if components == 3 else "/DeviceGray"
-        self.stream(number, data, f" /Type /XObject /Subtype /Image /Width {width} /Height {height} /BitsPerComponent {bits} /ColorSpace {space}" + (f" /SMask {smask} 0 R" if smask else ""))
+    def image(self, number: int, image: Image, smask: int | None = None) -> None:
+        """An image; data that a codec has encoded are stored as they are."""
+        self.stream(number, image.data, image_entries(image, smask), compress=image.filter is None)
 
-    def row(self, doc: int, seq: int) -> tuple:
-        return doc, seq, b"".join(self.pieces), self.entries
+    def row(self, doc: int, seq: int, source_bytes: int = 0, warnings: list[str] | None = None) -> tuple:
+        return doc, seq, b"".join(self.pieces), self.entries, source_bytes, warnings or []
 
 
 def page_number(n: int, slot: int) -> int:
     return FIXED + SLOTS * n + slot
 
 
-def _page(r, bitonal: bool) -> _Part:
+def _given(r) -> dict[str, Image]:
+    """The layers that a row brings as raw bytes."""
+    if not isinstance(getattr(r, "mask", None), bytes | bytearray):
+        return {}
+    raw = lambda data, h, w, bits=8: Image(int(w), int(h), bytes(data), 1 if bits == 1 else len(data) // int(h * w), bits)
+    return {"mask": raw(r.mask, r.mask_height, r.mask_width, 1), "background": raw(r.background, r.bg_height, r.bg_width), "foreground": raw(r.foreground, r.fg_height, r.fg_width)}
+
+
+def _page(r, layers: dict[str, Image]) -> _Part:
+    """The objects of a page; layers: a background, and a foreground with its mask; or one picture under ``whole``."""
     part, n, total = _Part(), int(r.n), int(r.pages)
     node = FIXED + SLOTS * total + NODES * (n // NODE)
     number = lambda slot: page_number(n, slot)
-    names, draw = [], []
-    mask = getattr(r, "mask", None)
-    if isinstance(mask, bytes | bytearray):
-        h, w = int(r.mask_height), int(r.mask_width)
-        if bitonal:
-            part.image(number(BACK), w, h, (~np.frombuffer(mask, np.uint8)).tobytes(), 1, 1)
-            names = [("Im0", BACK)]
-        else:
-            part.image(number(MASK), w, h, bytes(mask), 1, 1)  # in its own size
-            for slot, data, lh, lw in ((BACK, r.background, r.bg_height, r.bg_width), (FORE, r.foreground, r.fg_height, r.fg_width)):
-                part.image(number(slot), int(lw), int(lh), bytes(data), len(data) // int(lh * lw), 8, number(MASK) if slot == FORE else None)
-            names = [("Im0", BACK), ("Im1", FORE)]
-        draw = [f"q {r.width:.3f} 0 0 {r.height:.3f} 0 0 cm /{name} Do Q\n" for name, _ in names]
+    names = []
+    if "mask" in layers:  # in its own size
+        part.image(number(MASK), layers["mask"])
+    for name, slot, smask in (("whole", BACK, None), ("background", BACK, None), ("foreground", FORE, number(MASK))):
+        if name in layers:
+            part.image(number(slot), layers[name], smask)
+            names.append((f"Im{len(names)}", slot))
+    draw = [f"q {r.width:.3f} 0 0 {r.height:.3f} 0 0 cm /{name} Do Q\n" for name, _ in names]
     content = r.content if isinstance(r.content, str) else ""
     part.stream(number(CONTENT), ("".join(draw) + content).encode("latin-1", "replace"))
     objects = f" /XObject << {' '.join(f'/{name} {number(slot)} 0 R' for name, slot in names)} >>" if names else ""
@@ -90,23 +93,24 @@ def _page(r, bitonal: bool) -> _Part:
     return part
 
 
-def _head(r, language: str | None, created: datetime) -> _Part:
+def _head(r, language: str | None, created: datetime, meta: dict[str, str], conforming: bool) -> _Part:
     part, total = _Part(HEAD), int(r.pages)
     nodes = [FIXED + SLOTS * total + NODES * k for k in range(-(-total // NODE))]
-    title = r.title if isinstance(r.title, str) else ""
+    title = meta.get("title") or (r.title if isinstance(r.title, str) else "")
     toc = [t for t in (r.toc if r.toc is not None else ()) if 0 <= t["page"] < total]
     first = FIXED + SLOTS * total + NODES * len(nodes)
     extra = (f" /PageLabels << /Nums [{r.nums}] >>" if isinstance(r.nums, str) and r.nums else "") + (f" /Outlines {OUTLINE} 0 R" if toc else "") + (f" /Lang ({language})" if language else "")
     part.put(CATALOG, f"<< /Type /Catalog /Pages {TREE} 0 R /MarkInfo << /Marked true >> /StructTreeRoot {STRUCTURE} 0 R /Metadata {META} 0 R /OutputIntents [{INTENT} 0 R]{extra} >>")
     part.put(TREE, f"<< /Type /Pages /Kids [{' '.join(f'{k} 0 R' for k in nodes)}] /Count {total} >>")
-    part.put(INFO, f"<< /Producer {text_string(PRODUCER)} /CreationDate ({pdf_date(created)}) /Title {text_string(title)} >>")
+    part.put(INFO, f"<< /Producer {text_string(PRODUCER)} /CreationDate ({pdf_date(created)}) /Title {text_string(title)}{''.join(f" /{k} {text_string(meta[k.lower()])}" for k in ("Author", "Subject", "Creator") if meta.get(k.lower()))} >>")
     part.stream(UNICODE, b"/CIDInit /ProcSet findresource begin 12 dict begin begincmap /CMapName /Units def /CMapType 2 def 1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange endcmap end end")
     part.put(DESCRIPTOR, "<< /Type /FontDescriptor /FontName /Glyphless /Flags 5 /FontBBox [0 0 500 1000] /Ascent 1000 /Descent -1 /CapHeight 1000 /ItalicAngle 0 /StemV 80 >>")
     part.put(CID, f"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Glyphless /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /FontDescriptor {DESCRIPTOR} 0 R /DW 500 >>")
     part.put(FONT, f"<< /Type /Font /Subtype /Type0 /BaseFont /Glyphless /Encoding /Identity-H /DescendantFonts [{CID} 0 R] /ToUnicode {UNICODE} 0 R >>")
     part.put(STRUCTURE, f"<< /Type /StructTreeRoot /K [{' '.join(f'{k + 2} 0 R' for k in nodes)}] /ParentTree {PARENTS} 0 R >>")
-    part.stream(META, xmp(title, PRODUCER, created), " /Type /Metadata /Subtype /XML", compress=False)
-    part.put(INTENT, "<< /Type /OutputIntent /S /GTS_PDFA1 /OutputConditionIdentifier (sRGB) /Info (sRGB) >>")
+    part.stream(META, xmp(title, PRODUCER, created, conforming, meta), " /Type /Metadata /Subtype /XML", compress=False)
+    part.put(INTENT, f"<< /Type /OutputIntent /S /GTS_PDFA1 /OutputConditionIdentifier (sRGB) /Info (sRGB) /DestOutputProfile {PROFILE} 0 R >>")
+    part.stream(PROFILE, srgb_profile(), " /N 3")
     part.put(PARENTS, f"<< /Kids [{' '.join(f'{k + 1} 0 R' for k in nodes)}] >>")
     if toc:
         _outline(part, toc, first)
@@ -134,26 +138,37 @@ def _outline(part: _Part, toc: list, first: int) -> None:
     part.put(OUTLINE, f"<< /Type /Outlines /First {top[0]} 0 R /Last {top[-1]} 0 R /Count {len(top)} >>")
 
 
-def document_parts(pages: DataFrame, documents: DataFrame, language: str | None = None, bitonal: bool = False, created: datetime = DATE, keys: DataFrame | None = None) -> DataFrame:
+def document_parts(pages: DataFrame, documents: DataFrame, language: str | None = None, created: datetime = DATE, keys: DataFrame | None = None, render: Callable | None = None, meta: dict[str, str] | None = None, conforming: bool = True) -> DataFrame:
     """(doc, seq, data): the parts of each document, to be put together by seq.
 
     pages: (doc, page_idx, width, height, content) and, for layers, mask (1 bit a pixel), mask_height, mask_width,
-    background, bg_height, bg_width, foreground, fg_height, fg_width; documents: (doc, title, nums, toc
-    array<struct<level, title, page>>).  keys: the (doc, page_idx) of pages, where they are to be had more cheaply.
+    background, bg_height, bg_width, foreground, fg_height, fg_width; or what render(row) makes layers of, as (layers,
+    source bytes, warnings), where the part is written.  documents: (doc, title, nums, toc array<struct<level, title,
+    page>>).  keys: the (doc, page_idx) of pages, where they are to be had more cheaply.  meta: author, subject, creator
+    and the like; conforming: PDF/A-3B is claimed, which visible text without an embedded font does not meet.
     Documents without pages have no parts.
     """
+    return reported_parts(pages, documents, language, created, keys, render, meta, conforming)[0]
+
+
+def reported_parts(pages: DataFrame, documents: DataFrame, language: str | None = None, created: datetime = DATE, keys: DataFrame | None = None, render: Callable | None = None, meta: dict[str, str] | None = None, conforming: bool = True) -> tuple[DataFrame, DataFrame]:
+    """document_parts, and (doc, pages, source_bytes, warnings) of what render tells."""
     keys = (pages.select("doc", "page_idx") if keys is None else keys).persist()  # contents and layers are made once, for the parts
     counts = keys.groupBy("doc").agg(F.count("*").alias("pages"))
     numbered = pages.join(with_context(keys, ["doc"], "page_idx", before={"n": F.lit(1)}), ["doc", "page_idx"])
-    columns = ["doc", "seq", "data", "entries"]
+    columns = ["doc", "seq", "data", "entries", "source_bytes", "warnings"]
 
     def page_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([_page(r, bitonal).row(int(r.doc), 1 + int(r.n)) for r in pdf.itertuples(index=False)], columns=columns)
+            rows = []
+            for r in pdf.itertuples(index=False):
+                layers, size, warnings = render(r) if render else (_given(r), 0, [])
+                rows.append(_page(r, layers).row(int(r.doc), 1 + int(r.n), size, warnings))
+            yield pd.DataFrame(rows, columns=columns)
 
     def head_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([_head(r, language, created).row(int(r.doc), 0) for r in pdf.itertuples(index=False)], columns=columns)
+            yield pd.DataFrame([_head(r, language, created, meta or {}, conforming).row(int(r.doc), 0) for r in pdf.itertuples(index=False)], columns=columns)
 
     heads = counts.join(documents.select("doc", "title", "nums", "toc"), "doc", "left").mapInPandas(head_rows, PART)
     body = numbered.join(counts, "doc").mapInPandas(page_rows, PART).unionByName(heads).persist()
@@ -176,7 +191,8 @@ def document_parts(pages: DataFrame, documents: DataFrame, language: str | None
 
     # every block has at least its first page's or head's objects, as numbers are dense but for unused slots
     tables = entries.join(sizes, "doc").withColumn("block", F.floor(F.col("number") / BLOCK)).groupBy("doc", "block").applyInPandas(table, "doc long, seq long, data binary")
-    return body.select("doc", "seq", "data").unionByName(tables)
+    report = body.where("seq > 0").groupBy("doc").agg(F.count("*").alias("pages"), F.sum("source_bytes").alias("source_bytes"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("warnings")))).alias("warnings"))
+    return body.select("doc", "seq", "data").unionByName(tables), report
 
 
 def assembled(parts: DataFrame) -> DataFrame:

@@ -70,9 +70,11 @@ def test_pdf_offsets_and_facts():
     assert len(got) == 41 and got[0]["has_text"] and not got[1]["has_text"]
     assert [(i["width"], i["depth"], bool(i["mask_xref"])) for i in got[0]["images"]] == [(4, 8, False), (4, 8, True)]
     assert got[0]["images"][0]["bbox"] == [0, 0, 200, 300] and got[0]["links"][0]["uri"] == "http://x/(a)"
-    assert b"/Limits [32 40]" in data and b"T &amp; &lt;t&gt;" in data and data.count(b"/Dest") == 3
+    assert b"/Limits [32 40]" in data and b"T &amp; &lt;t&gt;" in data and data.count(b"/Dest [") == 3
     with pytest.raises(ValueError):
-        pdf.Builder().image(0, 1, b"")
+        pdf.Builder().image(pdf.Image(0, 1, b""))
+    profile = pdf.srgb_profile()
+    assert int.from_bytes(profile[:4], "big") == len(profile) and profile[36:40] == b"acsp" and b"/DestOutputProfile" in data
 
 
 def test_parts_of_documents(spark, tmp_path):
@@ -99,7 +101,7 @@ def test_parts_of_documents(spark, tmp_path):
         assert [bool(p["has_text"]) for p in got] == [True] * (70 if r.doc == 1 else 1)
         assert [(i["width"], bool(i["mask_xref"])) for i in got[0]["images"]] == [(4, False), (4, True)]
     one = bytes(pdf_parts.assembled(parts).where("doc = 1").first().pdf)
-    assert one.count(b"/Dest") == 3 and b"/PageLabels" in one and b"/Limits [64 69]" in one
+    assert one.count(b"/Dest [") == 3 and b"/PageLabels" in one and b"/Limits [64 69]" in one
 
 
 def test_codecs():
