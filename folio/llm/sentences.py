@@ -279,11 +279,7 @@ def event_counts(docs: DataFrame) -> DataFrame:
 class Model:
     """Log odds of a boundary at each slot, and their posterior."""
 
-    def __init__(self, rows: list, totals: dict):
-        tables = []
-        for t in range(4):
-            own = sorted((np.int64(r["key"]).view(np.uint64).item(), r["a"], r["b"], r["c"], r["d"]) for r in rows if r["tab"] == t)
-            tables.append((np.array([r[0] for r in own], np.uint64), np.array([r[1:] for r in own], float).reshape(-1, 4)))
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], totals: dict):
         (self.left, self.left_n), (self.right, self.right_n), (self.unit, self.unit_n), (self.pair, self.pair_n) = tables
         self.units = totals.get(2, np.zeros(4)) + 1.0
         self.total = totals.get(1, np.ones(4)) + 1.0
@@ -377,11 +373,14 @@ class Model:
 def sentence_model(docs: DataFrame, vocabulary: int = VOCABULARY) -> Model:
     counts = event_counts(docs).persist()
     totals = {r["tab"]: np.array([r["a"], r["b"], r["c"], r["d"]], float) for r in counts.groupBy("tab").agg(*(F.sum(x).alias(x) for x in "abcd")).collect()}
-    rows = []
-    for t in range(4):  # the most frequent words of each table
-        rows += most_frequent(counts.where(F.col("tab") == t).withColumn("all", F.col("a") + F.col("b") + F.col("c") + F.col("d")), "all", vocabulary).drop("all").collect()
+    tables = []
+    for t in range(4):  # the most frequent words of each table, as columns
+        own = most_frequent(counts.where(F.col("tab") == t).withColumn("all", F.col("a") + F.col("b") + F.col("c") + F.col("d")), "all", vocabulary).select("key", *"abcd").toArrow()
+        key = own.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        tables.append((key[order], np.stack([own.column(x).to_numpy()[order] for x in "abcd"], 1).astype(float)))
     counts.unpersist()
-    return Model(rows, totals)
+    return Model(tables, totals)
 
 
 SCHEMA = "doc_id long, sentence int, start_pos long, end_pos long, posterior double"
