@@ -60,43 +60,49 @@ def table_of_contents(pages: DataFrame) -> DataFrame:
     return numbered.where(t["_title"].isNotNull()).select("doc", "idx", t["_title"].alias("title"), F.coalesce(whole_number(t["_level"]), F.lit(1)).alias("level"), t["_label"].alias("label"), F.col("leaf_num").alias("leaf"), "accessible_page")
 
 
-def classified(series: DataFrame, strict: bool = False) -> DataFrame:
-    """(doc, idx, label) with kind, value and ok of every label in its series.
-
-    A roman label before one that is only a letter sequence is one too; a letter label stands if nothing follows, the
-    next is its successor or of its kind.  Where the look-ahead meets what cannot be decided the label is invalid and
-    not ok; in the strict form the query fails.
-    """
-    label = F.col("label")
-    own = with_context(series, ["doc"], "idx", following={"next": label}).withColumn("kind0", L.label_kind(label))
-    own = own.withColumn("next_kind", L.label_kind(F.col("next")))
-    k0, nk = F.col("kind0"), F.col("next_kind")
-    turned = F.when((k0 == L.ROMAN_UPPER) & (nk == L.ALPHA_UPPER), L.ALPHA_UPPER).when((k0 == L.ROMAN_LOWER) & (nk == L.ALPHA_LOWER), L.ALPHA_LOWER).otherwise(k0)
-    own = own.withColumn("kind1", turned)
-    k1 = F.col("kind1")
-    successor = (F.length(label) == 1) & (F.length("next") == 1) & (F.ascii("next") == F.ascii(label) + 1)
+def _judged(label: Column, following: Column, strict: bool) -> dict[str, Column]:
+    """kind0, next_kind, kind, value and ok of a label before the next one that is given."""
+    k0, nk = L.label_kind(label), L.label_kind(following)
+    k1 = F.when((k0 == L.ROMAN_UPPER) & (nk == L.ALPHA_UPPER), L.ALPHA_UPPER).when((k0 == L.ROMAN_LOWER) & (nk == L.ALPHA_LOWER), L.ALPHA_LOWER).otherwise(k0)
+    successor = (F.length(label) == 1) & (F.length(following) == 1) & (F.ascii(following) == F.ascii(label) + 1)
     mixed = ((k1 == L.ALPHA_UPPER) & (nk == L.ROMAN_LOWER)) | ((k1 == L.ALPHA_LOWER) & (nk == L.ROMAN_UPPER))
     letters = k1.isin(L.ALPHA_UPPER, L.ALPHA_LOWER)
-    stands = F.col("next").isNull() | successor | (nk == k1)
+    stands = following.isNull() | successor | (nk == k1)
     kind = F.when(~letters | stands, k1).otherwise(L.INVALID)
     unreadable = label.isNotNull() & (k0 == L.INVALID)
     undecided = letters & ~stands & mixed
     ok = ~(unreadable | undecided)
     if strict:
-        ahead = F.col("next").isNotNull() & (nk == L.INVALID) & k1.isin(L.ROMAN_LOWER, L.ROMAN_UPPER, L.ALPHA_UPPER, L.ALPHA_LOWER)
+        ahead = following.isNotNull() & (nk == L.INVALID) & k1.isin(L.ROMAN_LOWER, L.ROMAN_UPPER, L.ALPHA_UPPER, L.ALPHA_LOWER)
         ok = F.when(undecided | ahead, F.raise_error(F.concat(F.lit("page label cannot be told: "), label)).cast("boolean")).otherwise(ok)
-    return own.withColumn("kind", kind).withColumn("value", L.label_value(label, F.col("kind"))).withColumn("ok", ok)
+    return {"kind0": k0, "next_kind": nk, "kind": kind, "value": L.label_value(label, kind), "ok": ok}
+
+
+def classified(series: DataFrame, strict: bool = False) -> DataFrame:
+    """(doc, idx, label) with kind, value and ok of every label in its series.
+
+    A roman label before one that is only a letter sequence is one too; a letter label stands if nothing follows, the
+    next is its successor or of its kind.  Where the look-ahead meets what cannot be decided the label is invalid and
+    not ok; in the strict form the query fails.
+    """
+    own = with_context(series, ["doc"], "idx", following={"next": F.col("label")})
+    return own.withColumns(_judged(F.col("label"), F.col("next"), strict))
 
 
 def label_runs(series: DataFrame, strict: bool = False) -> DataFrame:
-    """classified labels with run, the number of their run of consecutive labels of one kind."""
-    marked = classified(series, strict).persist()  # each step along the items reads its rows twice
-    behind = with_context(marked, ["doc"], "idx", previous={"_before": F.struct("kind", "value")})
-    was, value = F.col("_before")["kind"], F.col("_before")["value"]
-    both = (F.col("kind") != L.INVALID) & (was != L.INVALID)
-    breaks = (F.col("kind") != was) | both & (F.col("value") != value + 1)
-    broken = behind.withColumn("break", F.when(F.col("_before").isNull(), 0).otherwise(F.coalesce(breaks, F.lit(True)).cast("int"))).drop("_before")
-    return with_context(broken, ["doc"], "idx", before={"_run": F.col("break")}).withColumn("run", F.col("_run") + F.col("break")).drop("_run", "break")
+    """classified labels with run, the number of their run of consecutive labels of one kind.
+
+    What follows the row before is this row's label, or what follows that, so its kind is told in this row too and the
+    labels are gone along once; the run numbers are running sums.
+    """
+    label = F.col("label")
+    own = with_context(series, ["doc"], "idx", following={"next": label}, previous={"_was": F.struct(label.alias("label"))})
+    here, was = _judged(label, F.col("next"), strict), _judged(F.col("_was")["label"], F.coalesce(label, F.col("next")), False)
+    judged = own.withColumns(here | {"_kind": was["kind"], "_value": was["value"]})
+    both = (F.col("kind") != L.INVALID) & (F.col("_kind") != L.INVALID)
+    breaks = (F.col("kind") != F.col("_kind")) | both & (F.col("value") != F.col("_value") + 1)
+    broken = judged.withColumn("_break", F.when(F.col("_was").isNull(), 0).otherwise(F.coalesce(breaks, F.lit(True)).cast("int"))).drop("_was", "_kind", "_value")
+    return with_context(broken, ["doc"], "idx", before={"_run": F.col("_break")}).withColumn("run", F.col("_run") + F.col("_break")).drop("_run", "_break")
 
 
 def label_bounds(series: DataFrame, strict: bool = False) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from folio.operators import text_layer as T
 from folio.plans.metrics import modes
 from folio.plans.pages import OUT_SQL, PAGES_SQL, pages, read
-from folio.plans.shipping import shared_folder
 from folio.plans.text import SIZE_SQL, WORDS_SQL, placed
 from folio.sources import archive, codecs, hocr, images, pdf, scandata
+from folio.sources.stored import shared_folder
 
 
 def hocr_words(spark, d):

@@ -18,6 +18,7 @@ from folio.operators.mrc import DENOISE, FORM_BITONAL, decompose, page_form
 from folio.sources import codecs, images
 from folio.sources.pdf import Image
 from folio.sources.pdf_parts import reported_parts
+from folio.sources.stored import stored
 
 MODES = ("mrc", "skip")
 #: PDF filter and file suffix of each layer format; raw layers are deflated by the writer.
@@ -182,11 +183,12 @@ def recode(rasters: DataFrame, words: DataFrame, geometry: DataFrame, scandata:
     kept = S.output_index(pages).where(~F.col("skipped"))
     if options.limit:
         kept = kept.where(F.col("out_idx") < options.limit)
-    kept = kept.select("doc", F.col("idx").alias("page_idx"), "out_idx").persist()
+    kept = kept.select("doc", F.col("idx").alias("page_idx"), "out_idx")
     once = T.words_once(words)
     sizes = OG.page_sizes(OG.with_document(geometry, items)).where("imwidth > 0").select("doc", "page_idx", "ppi", F.col("width").alias("page_width"), F.col("height").alias("page_height"), "warnings")
-    content = T.page_streams(T.placed_words(once, sizes.select("doc", "page_idx", "ppi", F.col("page_height").alias("height"))), options.visible_text)
-    out = kept.join(sizes.drop("ppi"), ["doc", "page_idx"]).join(content, ["doc", "page_idx"], "left")
+    base = stored(kept.join(sizes, ["doc", "page_idx"]), "pages")
+    content = T.page_streams(T.placed_words(once, base.select("doc", "page_idx", "ppi", F.col("page_height").alias("height"))), options.visible_text)
+    out = base.drop("ppi").join(content, ["doc", "page_idx"], "left")
     render = None
     if options.mode == "mrc":
         source = rasters.withColumnsRenamed({"height": "raster_height", "width": "raster_width"}).drop("boxes", "dpi")
@@ -196,7 +198,7 @@ def recode(rasters: DataFrame, words: DataFrame, geometry: DataFrame, scandata:
         resolution = geometry.groupBy("doc", "page_idx").agg(F.max("dpi").alias("dpi"))
         out = out.join(text_boxes(once, geometry), ["doc", "page_idx"], "left").join(resolution, ["doc", "page_idx"], "left")
         if options.hq_pages:
-            counts = kept.groupBy("doc").agg(F.count("*").cast("int").alias("pages"))
+            counts = base.groupBy("doc").agg(F.count("*").cast("int").alias("pages"))
             hq = S.hq_pages(counts, options.hq_pages).select("doc", F.col("page_idx").alias("out_idx"), F.lit(True).alias("hq"))
             out = out.join(hq, ["doc", "out_idx"], "left")
         else:
@@ -212,7 +214,8 @@ def recode(rasters: DataFrame, words: DataFrame, geometry: DataFrame, scandata:
 
     toc = S.table_of_contents(pages).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "level", "title", "accessible_page"))), lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"), x["accessible_page"].alias("page"))).alias("toc"))
     labels = S.label_dictionary(S.label_bounds(pages.where(~S.is_skipped(F.col("add_to_access"))).select("doc", "idx", F.col("page_number").alias("label")), options.strict_labels))
-    named = items.select("doc", "title").dropDuplicates(["doc"]).join(toc, "doc", "left").join(labels, "doc", "left")
+    named = stored(items.select("doc", "title").dropDuplicates(["doc"]).join(toc, "doc", "left").join(labels, "doc", "left"), "documents")
+    pages.unpersist()
     ready = out.withColumnsRenamed({"page_width": "width", "page_height": "height"}).drop("page_idx").withColumnRenamed("out_idx", "page_idx")
-    keys = kept.join(sizes.select("doc", "page_idx"), ["doc", "page_idx"]).select("doc", F.col("out_idx").alias("page_idx"))
+    keys = base.select("doc", F.col("out_idx").alias("page_idx"))
     return reported_parts(ready, named, options.language, keys=keys, render=render, meta=options.meta, conforming=not options.visible_text)

@@ -24,13 +24,3 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(package, os.path.join(root, "folio"), ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(os.path.join(folder, "folio"), "zip", root))
     _shipped.add(context.applicationId)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder of that name below spark.checkpoint.dir, which all executors share; in local mode below the machine's own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.gettempdir()
-    return os.path.join(folder.removeprefix("file://").removeprefix("file:"), f"{name}-{spark.sparkContext.applicationId}")

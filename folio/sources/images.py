@@ -205,6 +205,7 @@ def write_stack(rasters: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     A file is named by its keys and put in place when it is whole, so a task that runs twice does no harm.
     """
     kinds = dict(rasters.dtypes)
+    folder = folder.removeprefix("file://").removeprefix("file:")
 
     def run(batches):
         os.makedirs(folder, exist_ok=True)

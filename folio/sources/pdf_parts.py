@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from folio.operators.sequence import with_context
 from folio.sources.pdf import Image, PRODUCER, image_entries, pdf_date, srgb_profile, text_string, xmp
+from folio.sources.stored import stored
 
 NODE = 32
 BLOCK = 4096
@@ -153,7 +154,7 @@ def document_parts(pages: DataFrame, documents: DataFrame, language: str | None
 
 def reported_parts(pages: DataFrame, documents: DataFrame, language: str | None = None, created: datetime = DATE, keys: DataFrame | None = None, render: Callable | None = None, meta: dict[str, str] | None = None, conforming: bool = True) -> tuple[DataFrame, DataFrame]:
     """document_parts, and (doc, pages, source_bytes, warnings) of what render tells."""
-    keys = (pages.select("doc", "page_idx") if keys is None else keys).persist()  # contents and layers are made once, for the parts
+    keys = stored(pages.select("doc", "page_idx") if keys is None else keys, "keys")  # contents and layers are made once, for the parts
     counts = keys.groupBy("doc").agg(F.count("*").alias("pages"))
     numbered = pages.join(with_context(keys, ["doc"], "page_idx", before={"n": F.lit(1)}), ["doc", "page_idx"])
     columns = ["doc", "seq", "data", "entries", "source_bytes", "warnings"]
@@ -171,8 +172,9 @@ def reported_parts(pages: DataFrame, documents: DataFrame, language: str | None
             yield pd.DataFrame([_head(r, language, created, meta or {}, conforming).row(int(r.doc), 0) for r in pdf.itertuples(index=False)], columns=columns)
 
     heads = counts.join(documents.select("doc", "title", "nums", "toc"), "doc", "left").mapInPandas(head_rows, PART)
-    body = numbered.join(counts, "doc").mapInPandas(page_rows, PART).unionByName(heads).persist()
-    placed = with_context(body.select("doc", "seq", F.length("data").cast("long").alias("size"), "entries"), ["doc"], "seq", before={"offset": F.col("size")}).persist()
+    body = numbered.join(counts, "doc").mapInPandas(page_rows, PART).unionByName(heads)
+    body = stored(body, "parts")  # what has been encoded is not encoded again, whatever is lost
+    placed = stored(with_context(body.select("doc", "seq", F.length("data").cast("long").alias("size"), "entries"), ["doc"], "seq", before={"offset": F.col("size")}), "places")
     entries = placed.select("doc", F.explode("entries").alias("e"), "offset").select("doc", F.col("e.number").alias("number"), (F.col("offset") + F.col("e.at")).alias("at"))
     ends = placed.groupBy("doc").agg(F.max(F.col("offset") + F.col("size")).alias("start"), F.max("seq").alias("last"))
     top = entries.groupBy("doc").agg((F.max("number") + 1).alias("numbers"))
