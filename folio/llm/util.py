@@ -1,10 +1,7 @@
-"""What several operators of this package share: reading, broadcasting under a bound, checkpoints."""
+"""What several operators of this package share: reading, broadcasting under a bound."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir, with its lineage cut."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), f"folio-checkpoint-{os.getpid()}")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def bounded_rows(df: DataFrame, most: int = BROADCAST_ROWS) -> list | None:
     """The rows of df, or None where it has more than ``most``."""
     rows = df.limit(most + 1).collect()
@@ -45,10 +28,6 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def nonempty(column: str = "text"):
-    return F.col(column).isNotNull() & (F.length(column) > 0)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """name, with as many underscores as it takes not to be a column of df."""
     taken = {c.lower() for c in df.columns}
