@@ -29,12 +29,15 @@ from folio.operators.sequence import with_context
 from . import codes
 from .codes import Codes, among, counts_before, range_hash
 from .lines import edits
-from .util import most_frequent, spread
+from .util import frequent_and_rest, spread
 
 PAGES = 32
 EDGE = 3
 EDGE_LINES = 3
+#: Most known words that are sent to every worker; the rest meet the words by joins.
 KNOWN_WORDS = 500_000
+#: Place in a run, before all pages, of the broken words that keep their hyphen.
+APART = -(1 << 31)
 #: For words that differ by more than a usual confusion: times as often that the right one must stand, and the share of the
 #: other's places that it must fit.  Both are ratios, to hold for any size of corpus.
 FAR_RATIO, FAR_SHARE = 5, 0.34
@@ -202,8 +205,11 @@ def same_heading(a: str, b: str) -> bool:
     return extra <= 8 and (edits(long[:-extra] if extra else long, short, most) <= most or edits(long[extra:], short, most) <= most)
 
 
-def _process(rows: dict, known: np.ndarray, title_of: dict, own_bucket: np.ndarray):
-    """Lines, results and unknown words of whole runs of pages (arrays sorted by doc, bucket, page, line, word)."""
+def _process(rows: dict, known: tuple[np.ndarray, np.ndarray], title_of: dict, own_bucket: np.ndarray, ask: bool = False):
+    """Lines, results and unknown words of whole runs of pages (arrays sorted by doc, bucket, page, line, word).
+
+    ask: the broken words of which neither form is in known instead.
+    """
     doc, bucket, page, line, texts = rows["doc"], rows["bucket"], rows["page"], rows["line"], rows["text"]
     t = Tokens(texts)
     c = t.codes
@@ -274,6 +280,7 @@ def _process(rows: dict, known: np.ndarray, title_of: dict, own_bucket: np.ndarr
     hyphened = np.isin(ends.astype(str), list(HYPHENS)) & (kind == 0)
     hyphen = np.zeros(m, bool)
     joined: dict[int, tuple[str, str]] = {}
+    asked = []
     for k in np.flatnonzero(hyphened).tolist():
         j = nxt[k]
         if j < 0:
@@ -286,8 +293,15 @@ def _process(rows: dict, known: np.ndarray, title_of: dict, own_bucket: np.ndarr
         with_hyphen, without = (known_count(known, x) for x in own)
         if with_hyphen > without:
             continue
+        if not without:  # words that are not sent have smaller counts than those that are
+            site = int(ld[k]), int(lb[k]), int(lp[k]), int(ll[k])
+            asked.append((*site, *own.view(np.int64).tolist()))
+            if site in rows["apart"]:
+                continue
         hyphen[k] = True
         joined[k] = (a, b)
+    if ask:
+        return asked
     mine = own_bucket[first]
     out = []
     for k in np.flatnonzero((kind > 0) & mine).tolist():
@@ -342,8 +356,22 @@ def known_count(known: tuple[np.ndarray, np.ndarray], h) -> int:
 READ = "tag string, doc long, page_idx int, line int, kind string, word string, cut int, next_page int, next_line int, lft long, rgt long, key long, n long, digit boolean, at int"
 
 
-def read_pages(words: DataFrame, titles: DataFrame, known) -> DataFrame:
-    """Rows of three kinds: r, the noise found in whole lines; s, words not well known; b, counts of neighbouring words."""
+ASKED = "doc long, bucket int, page_idx int, line int, hyphened long, joined long"
+
+
+def kept_apart(asked: DataFrame, rest: DataFrame) -> DataFrame:
+    """(doc, bucket, page_idx, line): of the broken words of which neither form was sent, those that rather stand with a hyphen."""
+    hyphened = rest.select(F.col("key").alias("hyphened"), F.col("n").alias("with_hyphen"))
+    joined = rest.select(F.col("key").alias("joined"), F.col("n").alias("without"))
+    met = asked.join(hyphened, "hyphened").join(joined, "joined", "left")
+    return met.where(F.col("with_hyphen") > F.coalesce("without", F.lit(0))).select("doc", "bucket", "page_idx", "line")
+
+
+def read_pages(words: DataFrame, titles: DataFrame, known, apart: DataFrame | None = None, ask: bool = False) -> DataFrame:
+    """Rows of three kinds: r, the noise found in whole lines; s, words not well known; b, counts of neighbouring words.
+
+    apart: the broken words that keep their hyphen as words that are not in known tell.  ask: those to be told so (ASKED).
+    """
     base = words.where("doc is not null and page_idx is not null and line is not null and word is not null").select("doc", "page_idx", "line", F.coalesce("par", F.lit(-1)).alias("par"), "word", F.coalesce("text", F.lit("")).alias("text"))
 
     def packed(batches):
@@ -369,6 +397,8 @@ def read_pages(words: DataFrame, titles: DataFrame, known) -> DataFrame:
     runs_of = base.select("doc", bucket.alias("bucket")).distinct().join(titles, "doc")
     none = F.lit(-1)
     heads = runs_of.select("doc", (none - 1).cast("int").alias("page_idx"), none.alias("line"), none.alias("par"), F.array(none).alias("words"), F.array(F.coalesce("title", F.lit(""))).alias("texts"), "bucket")
+    if apart is not None:
+        heads = heads.unionByName(apart.select("doc", F.lit(APART).alias("page_idx"), "line", none.alias("par"), F.array("page_idx").alias("words"), F.array(F.lit("")).alias("texts"), "bucket"))
     ordered = keyed.unionByName(heads).repartition("doc", "bucket").sortWithinPartitions("doc", "bucket", "page_idx", "line")
 
     def run(batches):
@@ -396,8 +426,10 @@ def read_pages(words: DataFrame, titles: DataFrame, known) -> DataFrame:
             texts = texts.take(pa.array(order)).to_pylist()
             title = (page == -2) & (word == -1)
             titles_of = {int(doc[k]): texts[k] for k in np.flatnonzero(title).tolist()}
-            if title.any():
-                keep = ~title
+            mark = page == APART
+            kept = set(zip(*(x[mark].tolist() for x in (doc, b, word, line))))
+            if title.any() or mark.any():
+                keep = ~title & ~mark
                 doc, page, line, b, par = (x[keep] for x in (doc, page, line, b, par))
                 texts = [t for t, k in zip(texts, keep.tolist()) if k]
             change = np.ones(len(doc), bool)
@@ -408,9 +440,14 @@ def read_pages(words: DataFrame, titles: DataFrame, known) -> DataFrame:
             paragraph[1:] = (doc[x] != doc[y]) | (b[x] != b[y]) | (page[x] != page[y]) | (par[x] != par[y])
             alone_line = paragraph & np.concatenate((paragraph[1:], [True]))
             alone = alone_line[np.cumsum(change) - 1]
-            return _process({"doc": doc, "bucket": b, "page": page, "line": line, "text": texts, "alone": alone}, known.value, titles_of, b == page // PAGES)
+            return _process({"doc": doc, "bucket": b, "page": page, "line": line, "text": texts, "alone": alone, "apart": kept}, known.value, titles_of, b == page // PAGES, ask)
 
         def emit(table: pa.Table):
+            if ask:
+                cols = list(zip(*rows_of(table))) or [()] * 6
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(cols, types)], [x.split()[0] for x in ASKED.split(", ")])
+                return
             out, sus, big = rows_of(table)
             bigrams.append(big)
             if len(bigrams) > 50:
@@ -447,7 +484,7 @@ def read_pages(words: DataFrame, titles: DataFrame, known) -> DataFrame:
         if bigrams:
             yield counted()
 
-    return ordered.select("doc", "page_idx", "par", "line", "words", "texts", "bucket").mapInArrow(run, READ)
+    return ordered.select("doc", "page_idx", "par", "line", "words", "texts", "bucket").mapInArrow(run, ASKED if ask else READ)
 
 
 NAMES = [x.strip().split(" ")[0] for x in READ.split(",")]
@@ -482,7 +519,7 @@ FIGURES = {"l": "1", "i": "1", "o": "0", "s": "5", "z": "2", "b": "8"}
 _FIGURE = "^[£$]?[0-9lioszb.,–-]*[0-9][0-9lioszb.,–-]*$"
 
 
-def page_noise(words: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def page_noise(words: DataFrame, items: DataFrame, most_broadcast: int = KNOWN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(doc, page_idx, line, kind) of noisy lines, and the repairs (doc, page_idx, line, at, word, to_word, cost, beside, cut, next_page, next_line).
 
     A repair stands at the line where the word begins, ``at`` words into it; a word of which ``cut`` letters stand before
@@ -493,12 +530,17 @@ def page_noise(words: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame
     likely = (F.col("cost") < 1.1) | (F.col("to_n") >= FAR_RATIO * F.col("n"))
     candidates = repair_candidates(counts).where(likely).persist()
     strong = candidates.where((F.col("to_n") >= 20 * F.col("n")) & (F.col("cost") < 1.5) | (F.col("to_n") >= FAR_RATIO * F.col("n"))).select("key").distinct()
-    well_known = most_frequent(counts.where("n >= 3").join(strong, "key", "left_anti").select("key", "n"), "n", KNOWN_WORDS).toPandas()
+    sent, rest = frequent_and_rest(counts.where("n >= 3").join(strong, "key", "left_anti").select("key", "n"), "n", most_broadcast)
+    well_known = sent.toPandas()
     order = np.argsort(well_known["key"].to_numpy().view(np.uint64))
     known = words.sparkSession.sparkContext.broadcast((well_known["key"].to_numpy().view(np.uint64)[order], well_known["n"].to_numpy()[order]))
-    read = read_pages(words, items.select("doc", "title").dropDuplicates(["doc"]), known).persist()
+    titles = items.select("doc", "title").dropDuplicates(["doc"])
+    apart = None if rest is None else kept_apart(read_pages(words, titles, known, ask=True), rest)
+    read = read_pages(words, titles, known, apart).persist()
     lines = read.where("tag = 'r'").select("doc", "page_idx", "line", "kind")
     suspects = read.where("tag = 's'").drop("tag", "kind", "n").withColumn("id", F.xxhash64("doc", "page_idx", "line", "at", "word"))
+    if rest is not None:
+        suspects = suspects.join(rest.select("key"), "key", "left_anti")
     paired = suspects.drop("digit").join(candidates.select("key", "n", "to_key", "to_word", "to_n", "cost"), "key")
     fitting = _fits(paired, read.where("tag = 'b'").select("key", "n"))
     near = (F.col("beside") >= 2) | (F.col("beside") >= 1) & (F.col("cost") <= 0.8) | (F.col("to_n") >= 50 * F.col("n")) & (F.col("cost") < 1.0) & (F.length("word") >= 5)
