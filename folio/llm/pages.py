@@ -1,7 +1,7 @@
 """Problem 2: noise in text from scanned pages.
 
 1. Words are counted over the corpus.  A symmetric-delete index (every word with one character left out, joined
-   with the same of the frequent words) brings each rare word together with the frequent ones near it; a
+   with the same of the frequent words; for long words an equal half) brings each rare word together with the frequent ones near it; a
    weighted edit distance with the usual confusions of character shapes keeps the likely pairs.
 2. Pages are read in runs of PAGES consecutive ones (with the first lines of the pages after them), so a
    run is bounded however large the item: page numbers and headings are told by place, form and repetition,
@@ -48,6 +48,8 @@ c:e e:c a:o o:a u:n n:u h:b b:h f:t t:f l:1 i:1 1:l 1:i 0:o o:0 5:s s:5 8:b b:8
 i:l l:i i:; e:o o:e l:t ſ:f ſ:s f:s s:f r:v v:r y:v v:y l:| i:| a:& o:c c:o a:u u:a 3:e e:3 7:t 2:z z:2 m:rn m:in m:ni h:li u:ll d:cl w:vv u:ii
 и:н н:и о:с с:о е:с с:е п:н н:п л:п ш:щ щ:ш л:а д:л я:р
 """.split()
+#: Words of so many letters meet by their halves, of which there are few, shorter ones by what is left without a letter or two.
+LONG = 40
 HYPHENS = "-‐¬=­‑"
 _STRIP = " .,;:!?\"'()[]{}«»“”‘’„‚—–-…¿¡،؟؛。‐­¬="
 _K1, _K2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -114,7 +116,7 @@ def word_counts(words: DataFrame) -> DataFrame:
             texts = batch.column("text").to_pylist()
             t = Tokens(texts)
             letters = counts_before(t.codes.is_kind(codes.LOWER, codes.UPPER, codes.CASELESS))
-            keep = np.flatnonzero((letters[t.end] > letters[t.start]) & (t.end - t.start < 40) & ~np.isin(np.array([x[-1:] for x in texts]), list(HYPHENS)))
+            keep = np.flatnonzero((letters[t.end] > letters[t.start]) & ~np.isin(np.array([x[-1:] for x in texts]), list(HYPHENS)))
             n = batch.column("n").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(t.hash[keep].view(np.int64)), pa.array([t.word(k) for k in keep.tolist()]), pa.array(n[keep])], ["key", "word", "n"])
 
@@ -133,7 +135,12 @@ def repair_candidates(counts: DataFrame) -> DataFrame:
                     if len(w) < 2:
                         continue
                     forms = {w}
-                    if len(w) < 30:
+                    if len(w) >= LONG - 2:
+                        # words that are near differ in five characters in a row and by two in length: one half is the same
+                        for size in (len(w),) if side == "rare" else range(len(w) - 2, len(w) + 3):
+                            half = (size - 7) // 2
+                            forms |= {f"{size}<{w[:half]}", f"{size}>{w[-half:]}"}
+                    if len(w) < LONG:
                         forms |= {w[:i] + w[i + 1 :] for i in range(len(w))}
                         if side == "rare":
                             for x, y in _PAIRS:
