@@ -48,7 +48,7 @@ def compression_ratio(spark, d):
     kept = pages(spark, d).where(~S.is_skipped(F.col("add_to_access"))).select("doc", F.col("idx").alias("page_idx"))
     source = g.join(kept, ["doc", "page_idx"]).select("doc", (F.col("imwidth").cast("long") * F.col("imheight")).alias("bytes"))
     i = read(spark, d, "page_images").select("doc", F.expr("cast(width as bigint) * height * depth div 8").alias("bytes"))
-    return M.compression_ratio(source, i).select("doc", "source", "output", F.floor(F.col("source") * 1000000 / F.col("output")).cast("long").alias("ratio_millionths"))
+    return M.compression_ratio(source, i).select("doc", "source", "output", F.expr("cast(source as decimal(20,0)) * 1000000 div nullif(output, 0)").alias("ratio_millionths"))
 
 
 def layer_breakdown(spark, d):
