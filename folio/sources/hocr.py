@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
+from xml.parsers.expat import ExpatError, ParserCreate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 WORDS = f"page_idx int, page_width int, page_height int, scan_res int, par int, line int, line_bbox {BOX}, baseline struct<slope:double,const:double>, word int, text string, conf double, bbox {BOX}, fontsize double, direction string"
 LINES = ("ocr_line", "ocr_caption", "ocr_header", "ocr_textfloat", "ocrx_line")
+BOX_NAMES = ("x0", "y0", "x1", "y1")
+#: Words that are given on at a time.
+MOST = 50_000
 VOID = ("br", "img", "meta", "link", "hr", "input")
 
 
@@ -77,22 +82,46 @@ class _Reader(HTMLParser):
             self.word[-1] += data
 
 
-def parse(text: str, font_scale: float = 1.0) -> list[tuple]:
-    """The words of an hOCR text as rows of WORDS; a page without words gives none."""
+#: What an XML parser would read in another way than an HTML parser does.
+_NOT_XML = re.compile("\r|&#|<!\\[|<!ENTITY|<(?:script|style)", re.IGNORECASE)
+
+
+def _read(text: str) -> _Reader:
+    """Well-formed texts go through the XML parser, which is several times as fast; others through the HTML parser."""
+    if text and not _NOT_XML.search(text):
+        reader, parser = _Reader(), ParserCreate()
+        parser.buffer_text = True
+        parser.StartElementHandler = lambda tag, a: reader.handle_starttag(tag.lower(), [(k.lower(), v) for k, v in a.items()])
+        parser.EndElementHandler = lambda tag: reader.handle_endtag(tag.lower())
+        parser.CharacterDataHandler = reader.handle_data
+        try:
+            parser.Parse(text, True)
+            return reader
+        except ExpatError:
+            pass
     reader = _Reader()
     reader.feed(text or "")
     reader.close()
-    box = lambda b: dict(zip(("x0", "y0", "x1", "y1"), b)) if b else None
-    rows = []
-    for k, page in enumerate(reader.pages):
+    return reader
+
+
+def _found(text: str, font_scale: float = 1.0) -> Iterator[tuple]:
+    """The words of an hOCR text in the order of WORDS, boxes and baselines as tuples; a page without words gives none."""
+    for k, page in enumerate(_read(text).pages):
         b = page["box"] or (0, 0, 0, 0)
+        width, height, lines = int(b[2] - b[0]), int(b[3] - b[1]), page["lines"]
         last, n = None, 0
         for line, wbox, conf, size, direction, word in page["words"]:
             n = n + 1 if line == last else 0
             last = line
-            par, lbox, base, _ = page["lines"][line] if page["lines"] else (0, None, (0.0, 0.0), None)
-            rows.append((k, int(b[2] - b[0]), int(b[3] - b[1]), page["res"], par, line, box(lbox), {"slope": base[0], "const": base[1]}, n, word.strip(), conf, box(wbox), size * font_scale, direction))
-    return rows
+            par, lbox, base, _ = lines[line] if lines else (0, None, (0.0, 0.0), None)
+            yield k, width, height, page["res"], par, line, lbox, base, n, word.strip(), conf, wbox, size * font_scale, direction
+
+
+def parse(text: str, font_scale: float = 1.0) -> list[tuple]:
+    """The words of an hOCR text as rows of WORDS; a page without words gives none."""
+    box = lambda b: dict(zip(BOX_NAMES, b)) if b else None
+    return [(*r[:6], box(r[6]), {"slope": r[7][0], "const": r[7][1]}, *r[8:11], box(r[11]), *r[12:]) for r in _found(text, font_scale)]
 
 
 COLUMNS = [x.strip().split(" ")[0] for x in re.split(r",\s(?=[a-z_]+ )", WORDS)]
@@ -102,12 +131,30 @@ def hocr_words(texts: DataFrame, key: str = "doc", column: str = "hocr") -> Data
     """(key, WORDS) of a table with an hOCR text a row."""
     kind = dict(texts.dtypes)[key]
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(k, *r) for k, t in zip(pdf[key], pdf[column]) for r in parse(t)]
-            yield pd.DataFrame(rows, columns=[key, *COLUMNS])
-
-    return texts.select(key, column).mapInPandas(run, f"{key} {kind}, {WORDS}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                own = list(_found(t))
+                at += [k] * len(own)
+                rows += own
+                if len(rows) >= MOST or (rows and k + 1 == b.num_rows):
+                    yield _batch(key, b.column(0).take(pa.array(at)), rows)
+                    at, rows = [], []
+
+    return texts.select(key, column).mapInArrow(run, f"{key} {kind}, {WORDS}")
+
+
+def _batch(key: str, keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    made = []
+    for name, values in zip(COLUMNS, zip(*rows)):
+        if names := {"line_bbox": BOX_NAMES, "bbox": BOX_NAMES, "baseline": ("slope", "const")}.get(name):
+            none = (None,) * len(names)
+            parts = [pa.array(x, pa.float64()) for x in zip(*(v or none for v in values))]
+            made.append(pa.StructArray.from_arrays(parts, list(names), mask=pa.array([v is None for v in values])))
+        else:
+            made.append(pa.array(values, pa.string() if name in ("text", "direction") else pa.float64() if name in ("conf", "fontsize") else pa.int32()))
+    return pa.RecordBatch.from_arrays([keys, *made], [key, *COLUMNS])
 
 
 def read_hocr(spark: SparkSession, path: str) -> DataFrame:
